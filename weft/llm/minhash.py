@@ -58,7 +58,7 @@ class Shingler:
         if len(h) < k:
             x = h.copy()
             for j in range(1, len(h)):
-                x[0] = x[0] * self.factors[-1] + h[j]
+                x[:1] = x[:1] * self.factors[-1] + h[j : j + 1]
             return self._mixed(x[:1] + U(len(h)))
         x = h[: len(h) - k + 1] * self.factors[0]
         for j in range(1, k):

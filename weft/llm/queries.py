@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_rules, minhash, quality, secrets, sentencepiece_bpe, sharding, toxicity, url_filters
+from . import decontaminate, licenses, line_rules, minhash, quality, secrets, sentencepiece_bpe, sharding, toxicity, url_filters
 from .common import table
 from .labelled import held_out, labelled_sample
 
@@ -63,12 +63,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_sentencepiece, op3_toxicity, op4_sharding, op5_line_rules, op6_quality, op7_url_filters, op8_minhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_licenses, op2_sentencepiece, op3_toxicity, op4_sharding, op5_line_rules, op6_quality, op7_url_filters, op8_minhash, op9_decontaminate, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
