@@ -52,6 +52,14 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(frame._weft_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_others(self, kept: DataFrame) -> None:
+        """Delete all tables but one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        system = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for n in range(1, self.n + 1):
+            if f"{self.root}/{n}" != kept._weft_path:
+                system.delete(path(f"{self.root}/{n}"), True)
+
 
 def map_arrow(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with state that each task makes once."""

@@ -2,9 +2,10 @@
 
 Words are runs of letters and digits, in lower case. All n-grams of the test items are looked for in
 every whole text, in one pass, by an Aho-Corasick automaton over the text's words; each hit keeps the
-words around it (as many as the item has, on both sides). The hits give every n-gram's number of
-documents; an item's seeds are its rarer half by that number, so that a phrase of the language seeds
-nothing while a copied item, however often it was copied, keeps its own seeds. Hits of seeds join
+words around it (half as many as the item has, on both sides). The hits give every n-gram's number of
+places in the corpus; an item's seeds are its rare ones, those with at most `common` times the median
+of its n-grams that occur, so that a phrase of the language seeds nothing while an item that was
+copied, however often, keeps its own seeds. Hits of seeds join
 passages to items, and a passage is aligned to its item's words: 2 for equal words, 1 for words that share their
 first four letters, -1 for others and for gaps. The score is the best local alignment's part of the
 item's own score; at `least` or more the document holds the item, as a copy or edited.
@@ -111,7 +112,7 @@ def alignment(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return best[0] / (2 * m), best[1], best[2]
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 20_000) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 20_000, common: int = 4) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word: the best passage of each document and item it holds."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
@@ -121,21 +122,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least:
         part = items.filter(F.col("item_id") >= low)
         part = part.filter(F.col("item_id") < high) if high is not None else part
         own = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
-        found = _block(documents, own, n, least, scratch)
+        found = _block(documents, own, n, least, common, scratch)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
-def _block(documents: DataFrame, own: list[tuple[int, list[str]]], n: int, least: float, scratch: Scratch) -> DataFrame:
+def _block(documents: DataFrame, own: list[tuple[int, list[str]]], n: int, least: float, common: int, scratch: Scratch) -> DataFrame:
     hits = scratch.cut(item_hits(documents, own, n))
     # an n-gram of this block has at most one row in `counts`: as many as the block's items have words
     counts = {(r["item_id"], r["gram"]): r["n"] for r in hits.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n")).collect()}
     seeds = set()
     for item_id, words in own:
         grams = range(len(grams_of(words, n)))
-        rarest = sorted(grams, key=lambda k: (counts.get((item_id, k), 0), k))
-        middle = counts.get((item_id, rarest[(len(rarest) - 1) // 2]), 0) if rarest else 0
-        seeds |= {(item_id, k) for k in grams if counts.get((item_id, k), 0) <= middle}
+        found = sorted(counts[item_id, k] for k in grams if (item_id, k) in counts)
+        seeds |= {(item_id, k) for k in grams if found and 0 < counts.get((item_id, k), 0) <= common * found[(len(found) - 1) // 2]}
     words = dict(own)
 
     def make():

@@ -11,9 +11,12 @@ a pair of similarity 0.8 shares no bucket with probability 8e-6.
 How links are found without pairing whole groups:
 1. documents of equal sets form a class at once (by a 128-bit hash of the set); its smallest id stands for it;
 2. in each bucket every class is compared with the bucket's smallest, on full sets; components of these links follow;
-3. in buckets that still hold several components, classes of different components are compared, so a
-   link that the first comparison doesn't show isn't lost; what is linked already is never compared again;
-4. components of all links, by least labels with shortcuts; each round's result is a written table.
+3. in buckets that still hold several components, another hub, drawn by hash, is compared with the
+   members of other components, and again while many pairs stand open and each turn closes a tenth or
+   more; then all pairs of different components that are left are compared, so no link that shares a
+   bucket is lost. What is in one component already is never compared;
+4. components of links are found by least labels with shortcuts, later ones among components instead of
+   classes. Each turn's result is a written table.
 
 Null ids form no links, keep a null component and are kept; null texts are as empty. Rows that repeat
 an id stay or go together. An empty table gives an empty result. Other columns are not read.
@@ -168,39 +171,63 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after further links (a, b): components of labels instead of nodes."""
+    left, right = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    between = scratch.cut(links.join(left, "a").join(right, "b").filter("label_a <> label_b").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct())
+    if not between.limit(1).count():
+        return labels
+    found = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    return scratch.cut(labels.join(found, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, small: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that a chain of links reaches) and kept."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(documents.sparkSession)
     signed = scratch.cut(signatures(documents, words, bands, rows))
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes.select("rep"), signed["doc_id"] == F.col("rep"), "left_semi").filter("n_shingles > 0")
     entries = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub")
-    members = scratch.cut(entries.join(hubs, "key").filter("rep <> hub"))
-    nodes = members.select(F.col("rep").alias("node")).unionByName(members.select(F.col("hub").alias("node"))).distinct()
-    nodes = scratch.cut(nodes)
+    members = scratch.cut(entries.join(hubs, "key"))  # of buckets with several classes, the hub itself included
+    nodes = scratch.cut(members.select(F.col("rep").alias("node")).distinct())
     wanted = F.broadcast(nodes) if small_enough(nodes, small) else nodes
     sets = scratch.cut(element_sets(documents.join(wanted, documents["doc_id"] == nodes["node"], "left_semi"), words).filter(F.size("elements") > 0))
-    pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = scratch.cut(linked_pairs(pairs, sets, percent))
-    labels = components(edges, scratch)
-    # buckets that still hold several components
-    all_members = members.select("key", "rep").unionByName(members.select("key", F.col("hub").alias("rep"))).distinct()
-    placed = all_members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most and n > 2").select("key")
-    rest = scratch.cut(placed.join(mixed, "key"))
-    left = rest.select("key", F.col("rep").alias("a"), F.col("label").alias("label_a"))
-    right = rest.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-    more = left.join(right, "key").filter("label_a <> label_b and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = scratch.cut(linked_pairs(more, sets, percent))
-    if found.limit(1).count():
-        labels = components(edges.unionByName(found), scratch)
-    scratch.drop(members, nodes, sets, rest)
-    result = signed.join(classes, ["h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    tested = scratch.cut(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    labels = nodes.select("node", F.col("node").alias("label"))
+    labels = merged(labels, scratch.cut(linked_pairs(tested, sets, percent)), scratch)
+    open_before = None
+    for turn in range(1000):  # ends before, as what is open shrinks each time by a tenth at least
+        # buckets that still hold several components, and how many pairs stand open in them
+        placed = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep")
+        by_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+        mixed = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels")).filter("labels > 1 and n > 2")
+        mixed = scratch.cut(mixed.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")))
+        sums = mixed.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+        if not sums["n"]:
+            break
+        members = scratch.cut(members.join(mixed.select("key"), "key", "left_semi"))
+        placed = scratch.cut(members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep"))
+        last = sums["pairs"] <= 4 * sums["n"] or (open_before is not None and sums["pairs"] > 0.9 * open_before)
+        open_before = sums["pairs"]
+        if last:  # few are left: all of them
+            a = placed.select("key", F.col("rep").alias("a"), F.col("label").alias("label_a"))
+            b = placed.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"))
+            fresh = a.join(b, "key").filter("label_a <> label_b and a < b").select("a", "b").distinct()
+        else:  # another hub
+            hub = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("hub"), F.col("label").alias("hub_label"))).alias("x")).select("key", "x.hub", "x.hub_label")
+            fresh = placed.join(hub, "key").filter("label <> hub_label").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        fresh = scratch.cut(fresh.join(tested, ["a", "b"], "left_anti"))
+        labels = merged(labels, scratch.cut(linked_pairs(fresh, sets, percent)), scratch)
+        if last:
+            break
+        tested = tested.unionByName(fresh)
+    result = signed.drop("keys").join(classes, ["h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = scratch.cut(result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    scratch.drop_others(out)
+    return out
 
 
 def without_near_duplicates(documents: DataFrame, small: int = 500_000, **how) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -109,8 +110,9 @@ class ToxicField:
         if not toxic or not clean:
             raise ValueError("labels of both kinds are needed")
         seen: tuple[Counter, Counter] = Counter(), Counter()
-        for text, y in rows:
-            seen[y].update({f for w in {*TOKEN.findall(text.lower())} - STOPS for f in features(w)[:-1]})
+        for text, y in sorted(rows, key=lambda r: -r[1]):  # of clean documents only what toxic ones have, too
+            own = {f for w in {*TOKEN.findall(text.lower())} - STOPS for f in features(w)[:-1]}
+            seen[y].update(own if y else own & seen[1].keys())
         share, marks = toxic / (toxic + clean), set()
         for f, a in seen[1].items():
             b = seen[0][f]
@@ -129,6 +131,7 @@ class ToxicField:
                     tags.append(tag)
                 elif len(spare) < 40_000 and zlib.crc32(" ".join(words[a:b]).encode()) % 4 == 0:
                     spare.append(words[a:b])
+        del seen
         rest = spare[: 3 * len(chains) + 500]
         self._train(chains + rest, tags + [[0] * len(c) for c in rest])
         self._clear()
@@ -150,16 +153,16 @@ class ToxicField:
         n, m = len(chains), max(map(len, chains), default=1)
         mask = np.zeros((n, m), bool)
         y = np.zeros((n, m), int)
-        place, feature, word = [], [], np.full((n, m), -1)
+        place, feature, word = array("q"), array("q"), np.full((n, m), -1)
         cache: dict[str, list[int]] = {}
         for i, (chain, tag) in enumerate(zip(chains, tags)):
             mask[i, : len(chain)], y[i, : len(chain)] = True, tag
             for t, w in enumerate(chain):
                 ids = cache.get(w) or cache.setdefault(w, [self._hash(f) for f in features(w)])
                 word[i, t] = ids[0]
-                feature += ids
-                place += [i * m + t] * len(ids)
-        place, feature = np.array(place), np.array(feature)
+                feature.extend(ids)
+                place.extend([i * m + t] * len(ids))
+        place, feature = np.frombuffer(place, np.int64), np.frombuffer(feature, np.int64)
         pairs = mask[:, 1:]
         before, after = word[:, :-1][pairs], word[:, 1:][pairs]
         size, speed, first, second = self.size, 0.3, None, None
