@@ -56,8 +56,8 @@ def plan_segments(per_cell: DataFrame, ring: DataFrame, shards: int) -> DataFram
     marks = ring.select(F.explode("nodes").alias("v")).select("v.cell", "v.shard")
     both = per_cell.select("cell", "n", F.lit(None).cast("int").alias("shard")).unionByName(marks.withColumn("n", F.lit(None).cast("long")))
     first = ring.select(F.get(F.col("nodes.shard"), F.lit(0)).alias("first_shard"), F.get(F.col("nodes.cell"), F.lit(0)).alias("first_cell"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy(F.col("cell"), F.col("shard").isNull().desc()).rowsBetween(0, Window.unboundedFollowing)
-    homes = both.withColumns({"home": F.first("shard", True).over(ahead), "node": F.first(F.when(F.col("shard").isNotNull(), F.col("cell")), True).over(ahead)})
+    ahead = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell"), F.col("shard").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    homes = both.withColumns({"home": F.last("shard", True).over(ahead), "node": F.last(F.when(F.col("shard").isNotNull(), F.col("cell")), True).over(ahead)})
     homes = homes.filter("n is not null").crossJoin(F.broadcast(first))  # one row
     homes = homes.select("cell", "n", F.coalesce("home", "first_shard").alias("home"), F.coalesce("node", "first_cell").alias("node"))
     total = homes.groupBy().agg(F.sum("n").alias("total"))
