@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_rules, minhash, quality, secrets, sentencepiece_bpe, sharding, toxicity, url_filters
+from . import decontaminate, licenses, line_rules, minhash, oracles, quality, secrets, sentencepiece_bpe, sharding, toxicity, url_filters
 from .common import table
 from .labelled import held_out, labelled_sample
 
@@ -76,4 +76,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_rules": oracles.OP5, "op7_url_filters": oracles.OP7, "op8_minhash": oracles.OP8}
