@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, squared_distance
 from ..sources.tables import Points
+from .scratch import cut
 
 
 def two(points: Points, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -37,13 +38,62 @@ def pairs(points: Points, ordered: bool = False, extra: tuple[str, ...] = (), wi
     return out if within is None else out.filter(F.col("dist") <= within)
 
 
-def nearest(points: Points, k: int) -> DataFrame:
-    """keys, src, dst, dist, rank: the k nearest of each point; the smaller id goes first among equals."""
+def nearest(points: Points, k: int, grid_from: int = 50_000) -> DataFrame:
+    """keys, src, dst, dist, rank: the k nearest of each point; the smaller id goes first among equals.
+
+    All pairs are ranked where that is all one can do; from `grid_from` points on, in up to three dimensions, a grid finds the same."""
+    if points.dims <= 3 and points.frame.limit(grid_from).count() == grid_from:
+        return _nearest_by_grid(points, k)
     w = Window.partitionBy(*points.keys, "src").orderBy("dist", "dst")
     out = pairs(points, ordered=True).select(*points.keys, "src", "dst", "dist")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _nearest_by_grid(points: Points, k: int) -> DataFrame:
+    """Points with k others within a cell's width have their k nearest in the 3^dims cells around; the
+    rest tries again with cells twice as wide, until a cell is as wide as the whole set."""
+    keys, dims = points.keys, points.dims
+    box = points.frame.agg(F.count("*").alias("n"), *(F.min(F.get("features", F.lit(d))).alias(f"lo{d}") for d in range(dims)), *(F.max(F.get("features", F.lit(d))).alias(f"hi{d}") for d in range(dims))).first()
+    extent = [max(box[f"hi{d}"] - box[f"lo{d}"], 1e-12) for d in range(dims)]
+    volume = 1.0
+    for e in extent:
+        volume *= e
+    width, left, found = (volume / box["n"] * (k + 1)) ** (1 / dims), points, None
+    while True:
+        wide = width >= max(extent)
+        near = _around(left, points, width, wide)
+        rank = F.row_number().over(Window.partitionBy(*keys, "src").orderBy("dist", "dst"))
+        best = cut(near.withColumn("rank", rank).filter(F.col("rank") <= k))
+        settled = best.filter(F.col("rank") == k).select(*keys, "src")
+        part = best if wide else best.join(settled, [*keys, "src"], "left_semi")
+        found = part if found is None else found.unionByName(part)
+        if wide:
+            return found
+        rest = cut(left.frame.join(settled.withColumnRenamed("src", "id"), [*keys, "id"], "left_anti"))
+        if not rest.limit(1).count():
+            return found
+        left, width = Points(rest, dims, keys), 2 * width
+
+
+def _around(left: Points, points: Points, width: float, wide: bool) -> DataFrame:
+    """Ordered pairs from `left` to `points` that are no further apart than width (all, if wide)."""
+    keys, dims = points.keys, points.dims
+    a, b = two(left)[0], two(points)[1]
+    on = F.col("src") != F.col("dst")
+    for c in keys:
+        on = on & (F.col(c) == F.col(f"{c}_b"))
+    if not wide:
+        cell = lambda f: [F.floor(F.get(f, F.lit(d)) / width) for d in range(dims)]
+        shifts = [[]]
+        for _ in range(dims):
+            shifts = [[*s, d] for s in shifts for d in (-1, 0, 1)]
+        a = a.withColumn("cell", F.explode(F.array(*(F.array(*(c + d for c, d in zip(cell("fa"), s))) for s in shifts))))
+        b = b.withColumn("cell_b", F.array(*cell("fb")))
+        on = on & (F.col("cell") == F.col("cell_b"))
+    out = a.join(b, on).select(*keys, "src", "dst", distance("fa", "fb", dims).alias("dist"))
+    return out if wide else out.filter(F.col("dist") <= width)
+
+
 def undirected(edges: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
     """Each edge once, src < dst; of an edge proposed by both ends the smaller end's columns stay."""
     first = edges.select(*keys, F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.struct("src", *more).alias("x"))
