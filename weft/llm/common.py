@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -69,13 +72,18 @@ def map_arrow(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], It
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        del each
+        give_back()
 
     return frame.mapInArrow(run, schema)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The texts of a string column as UTF-8 bytes; null: empty."""
-    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker that waits for its next task shall be small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_enough(frame: DataFrame, most_rows: int) -> bool:
