@@ -53,3 +53,33 @@ step AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a),
 least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(least(n.doc_id, b), n.doc_id) AS component_id, n.doc_id = coalesce(least(n.doc_id, b), n.doc_id) AS kept FROM n LEFT JOIN least_ ON a = n.doc_id"""
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+# kind, its pattern, and the least length of its second group
+_KINDS = (
+    ("assign", _ASSIGN, 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0),
+    ("hex", "[0-9a-f]{24,}", 0),
+    ("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0),
+    ("github", "gh[opsur]_[A-Za-z0-9]{36,}", 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0),
+    ("google", "AIza[A-Za-z0-9_-]{35,}", 0),
+    ("jwt", "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", 0),
+)
+
+
+def _spans(number: int, kind: str, pattern: str, least: int) -> str:
+    """Rows (r, number, kind, start, stop): what stands before a match has the parts and the matches before it."""
+    value = f"regexp_extract_all(t, '{pattern}', 2)" if least else "m"
+    return f"""SELECT r, {number} AS number, '{kind}' AS kind, start, start + length(m[i]) AS stop FROM (SELECT r, i, m, v,
+  CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT r, parts, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_split_to_array(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}') AS m, {value} AS v FROM d))) WHERE length(v[i]) >= {least}"""
+
+
+_ALL = " UNION ALL ".join(_spans(k, *x) for k, x in enumerate(_KINDS))
+OP10 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS MATERIALIZED ({_ALL}),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER (number < 3), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.r = d.r"""

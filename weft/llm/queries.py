@@ -10,7 +10,7 @@ from .common import table
 from .labelled import held_out, labelled_sample
 
 #: Rows of each label that a classifier is fitted on, at most.
-TOXIC_SAMPLE = {1: 800, 0: 3200}
+TOXIC_SAMPLE = {1: 500, 0: 2000}
 QUALITY_SAMPLE = {1: 1500, 0: 1500}
 
 
@@ -76,4 +76,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": oracles.OP5, "op7_url_filters": oracles.OP7, "op8_minhash": oracles.OP8}
+    return {"op5_line_rules": oracles.OP5, "op7_url_filters": oracles.OP7, "op8_minhash": oracles.OP8, "op10_secrets": oracles.OP10}

@@ -34,10 +34,10 @@ MARK = "▁"
 class MergeModel:
     """The pieces of a merge-type model, and encoding by prefix table."""
 
-    def __init__(self, proto: bytes, most_words: int = 300_000):
+    def __init__(self, proto: bytes, most_words: int = 300_000, most_pairs: int = 600_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = sp.get_piece_size()
-        self.end_id, self.unknown_id, self.most_words = sp.eos_id(), sp.unk_id(), most_words
+        self.end_id, self.unknown_id, self.most_words, self.most_pairs = sp.eos_id(), sp.unk_id(), most_words, most_pairs
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.byte_ids, self.table, ids = {}, [], {}
         for i, piece in enumerate(self.pieces):
@@ -66,7 +66,7 @@ class MergeModel:
         for piece in own:  # all pieces that end where this one ends, longest first
             lengths[piece] = tuple(piece[k:] for k in range(len(piece)) if piece[k:] in own)
         self.suffixes = lengths
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
         self.letters = {p for p in own if len(p) == 1}
@@ -98,11 +98,12 @@ class MergeModel:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether the merges on a and b together give back a and b."""
-        known = self.fits.get((a, b))
+        key = self.ids[a] * len(self.pieces) + self.ids[b]
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 600_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merged(a + b) == [a, b]
+            known = self.merged(a + b) == [a, b]
+            if len(self.fits) < self.most_pairs:
+                self.fits[key] = known
         return known
 
     def encode_run(self, text: str) -> list[int]:
@@ -140,10 +141,8 @@ class MergeModel:
         return np.asarray(ids, np.int32).tobytes()
 
     def _word(self, word: str, cache: dict[str, bytes], mark: str) -> bytes:
-        if len(cache) >= self.most_words:
-            cache.clear()
         out = self._bytes(self.encode_run(mark + word))
-        if len(word) < 64:
+        if len(cache) < self.most_words and len(word) < 32:  # frequent words come early
             cache[word] = out
         return out
 

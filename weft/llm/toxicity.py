@@ -39,8 +39,8 @@ def features(word: str) -> list[str]:
 class ToxicField:
     """The trained field; scores texts. Weights are held by hashed feature."""
 
-    def __init__(self, bits: int = 18, chain: int = 64, evidence: float = 20.0, steps: int = 40, at: float = 0.7, most_words: int = 400_000):
-        self.bits, self.chain, self.evidence, self.steps, self.at, self.most_words = bits, chain, evidence, steps, at, most_words
+    def __init__(self, bits: int = 18, chain: int = 64, evidence: float = 20.0, steps: int = 30, ridge: float = 0.15, at: float = 0.7, most_words: int = 400_000):
+        self.bits, self.chain, self.evidence, self.steps, self.ridge, self.at, self.most_words = bits, chain, evidence, steps, ridge, at, most_words
         self.size = 1 << bits
         self.own, self.near = np.zeros(self.size), np.zeros((2, self.size))
         self.bias, self.moves = -4.0, np.zeros(3)  # clean to toxic, toxic to clean, toxic to toxic; clean to clean is 0
@@ -181,7 +181,7 @@ class ToxicField:
             logs = np.stack([np.zeros_like(x), z + self.moves[0], x + self.moves[1], x + z + self.moves[2]])
             joint = np.exp(logs - np.logaddexp.reduce(logs, 0))
             move = np.array([((y[:, :-1] == s) & (y[:, 1:] == e))[pairs].sum() - joint[2 * s + e][pairs].sum() for s, e in ((0, 1), (1, 0), (1, 1))])
-            g = np.concatenate([np.bincount(feature, d.ravel()[place], size), np.bincount(before, d[:, 1:][pairs], size), np.bincount(after, d[:, :-1][pairs], size), [d.sum()], move]) - 0.02 * theta
+            g = np.concatenate([np.bincount(feature, d.ravel()[place], size), np.bincount(before, d[:, 1:][pairs], size), np.bincount(after, d[:, :-1][pairs], size), [d.sum()], move]) - self.ridge * theta
             first = 0.1 * g if first is None else 0.9 * first + 0.1 * g
             second = 0.01 * g * g if second is None else 0.99 * second + 0.01 * g * g
             theta = theta + speed * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8) * (g != 0)
