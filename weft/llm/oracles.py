@@ -83,3 +83,33 @@ s AS MATERIALIZED ({_ALL}),
 g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER (number < 3), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) AS spans FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.r = d.r"""
+
+_H32 = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+OP4 = f"""
+WITH RECURSIVE tbl AS (SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce(range(0, 8), lambda c, _: {_BIT}, i) AS v FROM range(0, 256) t(i))),
+hexed AS (SELECT row_number() OVER () AS r, doc_id, string_split(lower(hex(encode(coalesce(text, '')))), '') AS h, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+bytes AS (SELECT r, doc_id, size, list_transform(range(0, size), lambda i: (instr('0123456789abcdef', h[2 * i + 1]) - 1) * 16 + instr('0123456789abcdef', h[2 * i + 2]) - 1) AS b FROM hexed),
+d AS MATERIALIZED (SELECT r, doc_id, CAST(size + 8 AS BIGINT) AS size, CASE WHEN size = 0 THEN 0 ELSE xor(list_reduce(b, lambda c, x: xor(c >> 8, tbl[1 + (xor(c, x) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) END AS text_crc32,
+  {_H32.format("'key:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS hash FROM bytes, tbl),
+nodes AS MATERIALIZED (SELECT cell, CAST(min(s) AS INTEGER) AS shard FROM (SELECT {_H32.format("'node:' || s || ':' || k")} % 65536 AS cell, s FROM range(0, 24) t(s), range(0, 64) u(k)) GROUP BY cell),
+cells AS (SELECT hash >> 16 AS cell, count(*) AS n FROM d GROUP BY 1),
+total AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM cells),
+homes AS (SELECT c.cell, c.n, coalesce(v.shard, (SELECT arg_min(shard, cell) FROM nodes)) AS home, coalesce(v.cell, (SELECT min(cell) FROM nodes)) AS node FROM cells c ASOF LEFT JOIN nodes v ON v.cell >= c.cell),
+b AS (SELECT *, total // 24 + CASE WHEN home < total % 24 THEN 1 ELSE 0 END AS bound, coalesce(sum(n) OVER (PARTITION BY home ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM homes, total),
+k AS (SELECT *, greatest(0, least(n, bound - before)) AS kept FROM b),
+m AS MATERIALIZED (SELECT *, coalesce(sum(n - kept) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM k),
+sent AS (SELECT node, sum(n - kept) AS sent FROM m GROUP BY node),
+lap AS (SELECT shard, cell, coalesce(sent, 0) AS sent FROM nodes LEFT JOIN sent ON node = cell),
+arcs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY turn, cell) AS i, shard, CAST(sent AS BIGINT) AS sent FROM (SELECT 0 AS turn, cell, shard, sent FROM lap UNION ALL SELECT 1, cell, shard, 0 FROM lap)),
+held AS (SELECT home, sum(kept) AS kept FROM m GROUP BY home),
+room AS (SELECT list(CAST(total // 24 + CASE WHEN s < total % 24 THEN 1 ELSE 0 END - coalesce(kept, 0) AS BIGINT) ORDER BY s) AS rooms, list(CAST(coalesce(kept, 0) AS BIGINT) ORDER BY s) AS nexts FROM range(0, 24) t(s) CROSS JOIN total LEFT JOIN held ON home = s),
+walk(i, waiting, served, rooms, nexts, start, stop, shard, slot) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), rooms, nexts, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INTEGER), CAST(0 AS BIGINT) FROM room
+  UNION ALL SELECT i, waiting - took, served + took, list_transform(rooms, lambda x, j: CASE WHEN j = shard + 1 THEN x - took ELSE x END), list_transform(nexts, lambda x, j: CASE WHEN j = shard + 1 THEN x + took ELSE x END), served, served + took, shard, nexts[shard + 1]
+  FROM (SELECT a.i, w.waiting + a.sent AS waiting, w.served, w.rooms, w.nexts, a.shard, least(w.waiting + a.sent, w.rooms[a.shard + 1]) AS took FROM walk w JOIN arcs a ON a.i = w.i + 1)),
+takes AS MATERIALIZED (SELECT start, stop, shard, slot FROM walk WHERE stop > start),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY hash >> 16 ORDER BY hash, doc_id, size, text_crc32) - 1 AS rank FROM d),
+placed AS (SELECT r.*, m.home, m.kept, m.before, m.moved + rank - m.kept AS g FROM ranked r JOIN m ON m.cell = r.hash >> 16)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(home AS INTEGER) AS shard, CAST(before + rank AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed WHERE rank < kept
+UNION ALL SELECT doc_id, size, CAST(text_crc32 AS BIGINT), 'rows', t.shard, CAST(t.slot + g - t.start AS BIGINT), NULL FROM placed JOIN takes t ON rank >= kept AND g >= t.start AND g < t.stop"""

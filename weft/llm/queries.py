@@ -76,4 +76,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": oracles.OP5, "op7_url_filters": oracles.OP7, "op8_minhash": oracles.OP8, "op10_secrets": oracles.OP10}
+    return {"op4_sharding": oracles.OP4, "op5_line_rules": oracles.OP5, "op7_url_filters": oracles.OP7, "op8_minhash": oracles.OP8, "op10_secrets": oracles.OP10}
