@@ -131,7 +131,15 @@ def empty_region(points: Points, inside, candidates: DataFrame | None = None, ne
     def parted(k: Column) -> Column:
         return (k["id"] != F.col("src")) & (k["id"] != F.col("dst")) & inside(square("fa", k["features"]), square("fb", k["features"]), F.col("c"))
 
-    left = both.filter(~F.exists("near_a", parted) & ~F.exists("near_b", parted)).drop("near_a", "near_b")
+    def any_parts(side: str) -> Column:
+        if dims > 3:
+            return F.exists(side, parted)
+        out = F.lit(False)  # written out, so that it stays inside generated code
+        for j in range(near):
+            out = out | F.coalesce(parted(F.get(side, F.lit(j))), F.lit(False))
+        return out
+
+    left = both.filter(~any_parts("near_a")).filter(~any_parts("near_b")).drop("near_a", "near_b")
     third = points.frame.select(*(F.col(k).alias(f"{k}_k") for k in points.keys), F.col("id").alias("k"), F.col("features").alias("fk"))
     on = (F.col("k") != F.col("src")) & (F.col("k") != F.col("dst")) & inside(squared_distance("fa", "fk", dims), squared_distance("fb", "fk", dims), F.col("c"))
     for k in points.keys:
