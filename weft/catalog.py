@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import Graph
 from .operators import ann, data_driven, kernel, misc, proximity, random_models, spanners, spanning, triangulation, visibility
+from .registry import get_operator
 from .sources import tables
 
 # Parameters that a query and its SQL share.
@@ -217,3 +219,17 @@ def _draw(axis: int, mean: float, deviation: float) -> str:
 _EXT = f"ext AS MATERIALIZED (SELECT id, {_draw(0, 0.02, 0.03)} AS ex, {_draw(1, 0.02, 0.03)} AS ey FROM pts)"
 query("intersection_circle", lambda s, d: misc.intersection(plane(s, d), "circle", 0.02, 0.03), f"WITH {PTS}, {PAIRS}, {_EXT} SELECT src, dst, {W}, round(a.ex+b.ex-dist, 6) AS overlap FROM pairs JOIN ext a ON a.id = src JOIN ext b ON b.id = dst WHERE dist <= a.ex+b.ex")
 query("intersection_rectangle", lambda s, d: misc.intersection(plane(s, d), "rectangle", 0.02, 0.03), f"WITH {PTS}, {PAIRS}, {_EXT}, q AS (SELECT src, dst, dist, a.ex+b.ex-abs(xa-xb) AS ox, a.ey+b.ey-abs(ya-yb) AS oy FROM pairs JOIN ext a ON a.id = src JOIN ext b ON b.id = dst) SELECT src, dst, {W}, round(ox*oy, 6) AS overlap_area FROM q WHERE ox >= 0 AND oy >= 0")
+
+
+def _graph(name: str, points: tables.Points, **params) -> Graph:
+    return get_operator(*name.split("/")).build(points, **params)
+
+
+_KNN_EDGES = f"{knn(K)}, e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, dist FROM knn)"
+query("graph_summary", lambda s, d: _graph("proximity/symmetric_knn", plane(s, d), k=K).summary(), f"WITH {_KNN_EDGES}, n AS (SELECT count(*) AS n FROM pts), m AS (SELECT count(*) AS m FROM e) SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1) / 2.0e0), 6) AS density FROM n, m")
+query("node_degrees", lambda s, d: _graph("proximity/symmetric_knn", plane(s, d), k=K).degrees(), f"WITH {_KNN_EDGES}, x AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) SELECT pts.id, count(x.id) AS degree FROM pts LEFT JOIN x ON x.id = pts.id GROUP BY pts.id")
+query("normalized_weights", lambda s, d: _graph("proximity/symmetric_knn", plane(s, d), k=K).normalized_weights(), f"WITH {_KNN_EDGES}, r AS (SELECT min(dist) AS lo, max(dist) AS hi FROM e) SELECT src, dst, {W}, round((dist - lo) / (hi - lo), 6) AS normalized FROM e, r")
+_MUTUAL = f"{knn(K)}, e AS (SELECT a.src AS a, a.dst AS b FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src)"
+query("graph_components", lambda s, d: _graph("proximity/mutual_knn", plane(s, d), k=K).components(), f"WITH RECURSIVE {_MUTUAL}, reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), l AS (SELECT a, min(b) AS b FROM reach GROUP BY a) SELECT id, coalesce(least(id, b), id) AS component FROM pts LEFT JOIN l ON l.a = id")
+query("similarity_stats", lambda s, d: kernel.similarity_stats(kernel.thresholded(plane(s, d), "laplacian", 0.0)), f"WITH {PTS}, {PAIRS}, k AS (SELECT exp(-dist/1.0e0) AS w FROM pairs) SELECT round(avg(w), 6) AS mean, round(quantile_cont(w, 0.5), 6) AS median, round(stddev_pop(w), 6) AS std, round(min(w), 6) AS min, round(max(w), 6) AS max, round(count(*) FILTER (abs(w) < 1e-12) / CAST(count(*) AS DOUBLE), 6) AS sparsity, count(*) FILTER (abs(w) >= 1e-12) AS nnz FROM k")
+query("bounding_box", lambda s, d: tables.bounding_box(plane_by_label(s, d)), f"WITH {PTSL} SELECT layout, round(min(x) - 0.5e0, 6) AS x_min, round(max(x) + 0.5e0, 6) AS x_max, round(min(y) - 0.5e0, 6) AS y_min, round(max(y) + 0.5e0, 6) AS y_max FROM pts GROUP BY layout")
