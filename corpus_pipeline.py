@@ -49,6 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
-    for _, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        kept = scratch.cut(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = kept
     return docs

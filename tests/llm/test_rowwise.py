@@ -196,7 +196,6 @@ def test_classifiers_on_odd_texts(spark, docs, small):
     assert kept.schema == docs.schema and kept.count() == scored.filter("score < 0.7").count()
     ranker = quality.PairwiseRanker().fit([("good text here. And more.", 1), ("BAD!! BAD!! BAD!!", 0)] * 5, {1: 5, 0: 5})
     assert quality.score_quality(docs, ranker).filter("score between 0 and 1").count() == docs.count()
-    with pytest.raises(ValueError):
-        quality.PairwiseRanker().fit([("a", 1)], {1: 1})
-    with pytest.raises(ValueError):
-        toxicity.ToxicField().fit([], {})
+    assert quality.PairwiseRanker().fit([("a", 1)], {1: 1}).scores([b"x"]).tolist() == [1] == quality.PairwiseRanker().fit([], {}).scores([b"x"]).tolist()
+    assert toxicity.ToxicField().fit([], {}).scores(["x", ""])[0].tolist() == [0, 0]
+    assert toxicity.without_toxic(docs, toxicity.ToxicField().fit([("a", 1)], {1: 1}), 0.7).count() == 0

@@ -7,7 +7,7 @@ one that parts the labels with the fewest errors at the labels' own frequencies,
 the score given is a logistic function that takes `at` there.
 
 Null and empty texts have features of zero words and are scored like any other. Without labels of
-both kinds nothing can be learned: ValueError.
+both kinds nothing can be learned: every score is 0 if all labels are 0, else 1.
 """
 
 from __future__ import annotations
@@ -48,11 +48,12 @@ class PairwiseRanker:
     pairs_each: int = 12
 
     def fit(self, rows: list[tuple[str, int]], counts: dict[int, int]) -> PairwiseRanker:
-        x = np.array([text_features(t.encode()) for t, _ in rows]).reshape(len(rows), -1)
         y = np.array([label for _, label in rows])
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        if not len(good) or not len(bad):
-            raise ValueError("labels of both kinds are needed")
+        self.constant = None if len(good) and len(bad) else 0.0 if len(bad) else 1.0
+        if self.constant is not None:
+            return self
+        x = np.array([text_features(t.encode()) for t, _ in rows]).reshape(len(rows), -1)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         x = (x - self.mean) / self.scale
         most, least = max(len(good), len(bad)), min(len(good), len(bad))
@@ -78,6 +79,8 @@ class PairwiseRanker:
         return self
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
         x = (np.array([text_features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights - self.threshold + np.log(self.at / (1 - self.at)), -30, 30)))
 

@@ -11,7 +11,8 @@ logistic function, fitted on the training documents, of the sum and the largest
 words whose marginal is at least one half give the offending offsets (code points).
 
 Null and empty texts have no words and get the score of a sum of 0. Repeated rows give repeated
-results. Without labels of both kinds nothing can be learned: ValueError.
+results. Without labels of both kinds nothing can be learned: every score is 1 if all labels are 1,
+else 0.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class ToxicField:
         self.own, self.near = np.zeros(self.size), np.zeros((2, self.size))
         self.bias, self.moves = -4.0, np.zeros(3)  # clean to toxic, toxic to clean, toxic to toxic; clean to clean is 0
         self.curve = np.array([-3.0, 2.0, 1.0])
+        self.constant: float | None = None
         self._clear()
 
     def _clear(self) -> None:
@@ -107,8 +109,9 @@ class ToxicField:
 
     def fit(self, rows: list[tuple[str, int]], counts: dict[int, int]) -> ToxicField:
         toxic, clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
-        if not toxic or not clean:
-            raise ValueError("labels of both kinds are needed")
+        self.constant = None if toxic and clean else 1.0 if toxic else 0.0
+        if self.constant is not None:
+            return self
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for text, y in sorted(rows, key=lambda r: -r[1]):  # of clean documents only what toxic ones have, too
             own = {f for w in {*TOKEN.findall(text.lower())} - STOPS for f in features(w)[:-1]}
@@ -233,6 +236,8 @@ class ToxicField:
     def scores(self, texts: list[str]):
         """(score, marginals, offsets among them) of texts."""
         sums, p, ends = self._sums(texts)
+        if self.constant is not None:
+            return np.full(len(texts), self.constant), 0 * p, ends
         return 1 / (1 + np.exp(-self._shape(sums) @ self.curve)), p, ends
 
     def spans(self, text: str, p: np.ndarray) -> list[tuple[int, int]]:
