@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -59,17 +60,16 @@ class MergeModel:
         self.dummy = bool(sp.encode("a")) and sp.id_to_piece(sp.encode("a")[0]).startswith(MARK)
         self.automaton = ahocorasick.Automaton()
         own = {p: i for p, i in ids.items() if self.merged(p) == [p]}  # a piece that merging never makes is never a last piece
-        lengths: dict[str, tuple[int, ...]] = {}
-        for piece in own:
-            self.automaton.add_word(piece, piece)
+        for piece, i in own.items():
+            self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        for piece in own:  # all pieces that end where this one ends, longest first
-            lengths[piece] = tuple(piece[k:] for k in range(len(piece)) if piece[k:] in own)
-        self.suffixes = lengths
+        self.sizes = [len(p) for p in self.pieces]
         self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
         self.letters = {p for p in own if len(p) == 1}
+        if any(c not in self.letters for p in ids for c in p):
+            raise ValueError("a model whose pieces hold characters that aren't pieces isn't provided for")
         self.newline = self._bytes(self.encode_run("\n"))
         self.cut = re.compile(f"{MARK}*[^{MARK}]*")
 
@@ -96,46 +96,47 @@ class MergeModel:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the merges on a and b together give back a and b."""
-        key = self.ids[a] * len(self.pieces) + self.ids[b]
-        known = self.fits.get(key)
-        if known is None:
-            known = self.merged(a + b) == [a, b]
-            if len(self.fits) < self.most_pairs:
-                self.fits[key] = known
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the merges on the characters of pieces a and b together give back a and b."""
+        x, y = self.pieces[a], self.pieces[b]
+        known = self.merged(x + y) == [x, y]
+        if len(self.fits) < self.most_pairs:
+            self.fits[a * len(self.pieces) + b] = known
         return known
 
     def encode_run(self, text: str) -> list[int]:
         """Ids of characters without the space mark inside, by the prefix table."""
-        last: list[str | None] = [None] * (len(text) + 1)  # the last piece of each prefix
-        ends: list[str | None] = [None] * len(text)
-        for at, piece in self.automaton.iter(text):
-            if ends[at] is None or len(piece) > len(ends[at]):
-                ends[at] = piece
-        for at in range(len(text)):
-            if ends[at] is None:
-                continue  # not in the vocabulary: its bytes
-            for piece in self.suffixes[ends[at]]:
-                before = last[at + 1 - len(piece)]
-                if before is None or self.compatible(before, piece):
-                    if before is None and at + 1 > len(piece) and ends[at - len(piece)] is not None:
-                        continue  # that prefix has no last piece, so none can follow it
-                    last[at + 1] = piece
-                    break
-            else:
-                raise AssertionError(f"no last piece for {text[: at + 1]!r}")
+        if not self.letters.issuperset(text):
+            return self._encode_mixed(text)
+        begin, pieces, fits = -1, len(self.pieces), self.fits
+        last = [0] * (len(text) + 1)  # the last piece of each prefix; 0: not known yet
+        last[0] = begin
+        for at, (piece, size) in self.automaton.iter(text):  # all pieces that end at each place
+            if last[at + 1]:
+                continue
+            before = last[at + 1 - size]
+            if before != begin:
+                fit = fits.get(before * pieces + piece)
+                if not (self.compatible(before, piece) if fit is None else fit):
+                    continue
+            last[at + 1] = piece
         out, at = [], len(text)
         while at:
-            piece = last[at]
-            if piece is None:
-                out.extend(self.byte_ids.get(b, self.unknown_id) for b in reversed(text[at - 1].encode())) if self.byte_ids else out.append(self.unknown_id)
-                at -= 1
-            else:
-                out.append(self.ids[piece])
-                at -= len(piece)
+            out.append(last[at])
+            at -= self.sizes[last[at]]
         return out[::-1]
 
+    def _encode_mixed(self, text: str) -> list[int]:
+        """The same where some characters aren't in the vocabulary: these become bytes and part the rest."""
+        out: list[int] = []
+        for known, part in groupby(text, self.letters.__contains__):
+            if known:
+                out += self.encode_run("".join(part))
+            else:
+                for c in part:
+                    out += [self.byte_ids.get(b, self.unknown_id) for b in c.encode()] if self.byte_ids else [self.unknown_id]
+        return out
+
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.asarray(ids, np.int32).tobytes()
