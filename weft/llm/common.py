@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 ASCII_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; the path may be of any file system that Spark knows."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,7 +68,13 @@ class Scratch:
 
 
 def map_arrow(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with state that each task makes once."""
+    """mapInArrow with state that each task makes once.
+
+    Where the session has Spark's own batch size, it is set to 1000 rows: a batch of whole texts is held by the JVM and
+    the worker at once, and 10,000 long ones take hundreds of MB."""
+    conf = frame.sparkSession.conf
+    if conf.get(BATCH, "10000") == "10000":
+        conf.set(BATCH, "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
