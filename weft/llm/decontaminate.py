@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, in lower case. All n-grams of the test items are looked for in
 every whole text, in one pass, by an Aho-Corasick automaton over the text's words; each hit keeps the
-words around it (half as many as the item has, on both sides). The hits give every n-gram's number of
-places in the corpus; an item's seeds are its rare ones, those with at most `common` times the median
-of its n-grams that occur, so that a phrase of the language seeds nothing while an item that was
-copied, however often, keeps its own seeds. Hits of seeds join
-passages to items, and a passage is aligned to its item's words: 2 for equal words, 1 for words that share their
+words around it (half as many as the item has, on both sides). Every n-gram is a seed, however often
+it occurs: how many copies there are of one passage doesn't decide whether another is found. A passage is
+aligned to its item's words: 2 for equal words, 1 for words that share their
 first four letters, -1 for others and for gaps. The score is the best local alignment's part of the
-item's own score; at `least` or more the document holds the item, as a copy or edited.
+item's own score; at `least` or more the document holds the item, as a copy or edited. A phrase of the
+language costs little: a passage whose words, in any order, can't bring the score to `least` isn't aligned.
 
 The items are a query set: they come to the driver in blocks of `block` items, each block being
 searched in all documents. Documents are never joined with one another, and no group of them is
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow
 
 WORD = re.compile(r"[^\W_]+")
-HITS = "doc_id long, item_id long, start long, grams array<int>, passage string"
+HITS = "doc_id long, item_id long, start long, passage string"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,30 +58,36 @@ def item_hits(documents: DataFrame, items: list[tuple[int, list[str]]], n: int)
         automaton.make_automaton()
 
         def each(batch):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 joined = f" {' '.join(words)} "
                 hits = list(automaton.iter(joined)) if sources else []
                 place, before = 0, 0
-                met: dict[tuple[int, int], set[int]] = {}  # (item, where it would begin): its n-grams
+                met: dict[tuple[int, int], None] = {}  # (item, where it would begin)
                 for end, (key, found) in hits:
                     place += joined.count(" ", before, end)  # words that end before this blank
                     before = end
                     for number, k, size in found:
-                        met.setdefault((number, place - size - k), set()).add(k)
-                for (number, begin), grams in met.items():
+                        met[number, place - size - k] = None
+                for number, begin in met:
                     item_id, own = items[number]
                     low, high = max(0, begin - len(own) // 2), begin + len(own) + len(own) // 2 + 1
-                    for column, x in zip(out, (doc_id, item_id, low, sorted(grams), " ".join(words[low:high]))):
+                    for column, x in zip(out, (doc_id, item_id, low, " ".join(words[low:high]))):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()))], names=["doc_id", "item_id", "start", "grams", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "item_id", "start", "passage"])
 
         return each
 
     return map_arrow(documents.select(F.col("doc_id").cast("long"), "text"), make, HITS)
 
 
+def most_possible(item: list[str], passage: list[str]) -> float:
+    """What no alignment's score is above: each word of the item counts by the best word of the passage."""
+    whole, heads = {*passage}, {w[:4] for w in passage}
+    return sum(2 if w in whole else w[:4] in heads for w in item) / (2 * max(1, len(item)))
+
+
 def alignment(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     """Best local alignment's score as a part of the item's own, and its (start, end) in the passage."""
     m, p = len(item), len(passage)
@@ -112,7 +117,7 @@ def alignment(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return best[0] / (2 * m), best[1], best[2]
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 20_000, common: int = 4) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word: the best passage of each document and item it holds."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
@@ -122,29 +127,23 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least:
         part = items.filter(F.col("item_id") >= low)
         part = part.filter(F.col("item_id") < high) if high is not None else part
         own = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
-        found = _block(documents, own, n, least, common, scratch)
+        found = _block(documents, own, n, least, scratch)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
-def _block(documents: DataFrame, own: list[tuple[int, list[str]]], n: int, least: float, common: int, scratch: Scratch) -> DataFrame:
+def _block(documents: DataFrame, own: list[tuple[int, list[str]]], n: int, least: float, scratch: Scratch) -> DataFrame:
     hits = scratch.cut(item_hits(documents, own, n))
-    # an n-gram of this block has at most one row in `counts`: as many as the block's items have words
-    counts = {(r["item_id"], r["gram"]): r["n"] for r in hits.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n")).collect()}
-    seeds = set()
-    for item_id, words in own:
-        grams = range(len(grams_of(words, n)))
-        found = sorted(counts[item_id, k] for k in grams if (item_id, k) in counts)
-        seeds |= {(item_id, k) for k in grams if found and 0 < counts.get((item_id, k), 0) <= common * found[(len(found) - 1) // 2]}
     words = dict(own)
 
     def make():
         def each(batch):
             best: dict[tuple, tuple] = {}
-            for doc_id, item_id, start, grams, passage in zip(*(c.to_pylist() for c in batch.columns)):
-                if not any((item_id, g) in seeds for g in grams):
+            for doc_id, item_id, start, passage in zip(*(c.to_pylist() for c in batch.columns)):
+                own_words, there = words[item_id], passage.split(" ")
+                if most_possible(own_words, there) < least:
                     continue
-                score, a, b = alignment(words[item_id], passage.split(" "))
+                score, a, b = alignment(own_words, there)
                 if score >= least and score > best.get((doc_id, item_id), (0.0,))[0]:
                     best[doc_id, item_id] = (score, start + a, start + b)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), *(pa.array([v[j] for v in best.values()], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "score", "start_word", "end_word"])
