@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from weft.catalog import QUERIES
 from weft.operators import ann, data_driven, kernel, misc, proximity, random_models, spanners, spanning, triangulation, visibility
 from weft.plans.pairs import nearest, pairs
 from weft.sources import tables
@@ -183,6 +184,31 @@ def test_dependence(spark):
     assert data_driven.mutual_information(obs.limit(0), 4).count() == 0
 
 
+def test_ksg_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        n, k = int(rng.integers(6, 400)), int(rng.integers(1, 6))
+        x, y = rng.normal(size=(2, n))
+        if trial % 3 == 1:
+            x, y = np.round(x, 1), np.round(x + y, 1)
+        if trial % 3 == 2:
+            x[n // 2 :], y[n // 2 :] = x[0], y[0]
+        dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+        eps = np.sort(np.maximum(dx, dy), axis=1)[:, k, None]
+        assert (data_driven.kth_nearest(x, y, k) == eps[:, 0]).all()
+        assert (data_driven.within(np.sort(x), x, eps[:, 0]) == (dx <= eps).sum(1)).all()
+
+
+def test_queries_use_all_components(spark, small):
+    edges = QUERIES["mutual_information_ksg"](spark, small).collect()
+    assert {(r["src"], r["dst"]) for r in edges} == {(i, j) for i in range(64) for j in range(i + 1, 64)}
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    first, second = (np.array([x[i][v] for i in sorted(x)]) for v in (9, 63))
+    assert {round(r["weight"], 6) for r in edges if (r["src"], r["dst"]) == (9, 63)} == {round(data_driven.ksg(first, second, 5), 6)}
+    for r in QUERIES["rp_forest"](spark, small).collect():
+        assert abs(r["weight"] - np.linalg.norm(x[r["src"]] - x[r["dst"]])) < 2e-6
+
+
 def test_kernels(points):
     p = points[0]
     for measure, t in (("gaussian", 0.3), ("cosine", 0.3), ("polynomial", 0.3), ("laplacian", 0.3), ("sigmoid", 0.3), ("inverse_distance", 0.3)):

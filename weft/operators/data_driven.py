@@ -137,32 +137,109 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
 
+@np.errstate(invalid="ignore")  # padding stands at infinity
+def kth_nearest(x: np.ndarray, y: np.ndarray, k: int, leaf: int = 24) -> np.ndarray:
+    """Each point's Chebyshev distance to its k-th nearest other point, in the plane.
+
+    A tree of equal halves, by x and y in turn. A leaf's own points bound each distance; only leaves within
+    that bound are looked at besides."""
+    n, leaf = len(x), max(leaf, 2 * k + 2)
+    depth = max(0, int(np.ceil(np.log2(n / leaf))))
+    pad = -n % (1 << depth)
+    at = np.stack([np.concatenate([c, np.full(pad, np.inf)]) for c in (x, y)])
+    order = np.arange(n + pad)[None]
+    boxes = []
+    for level in range(depth + 1):
+        if level:
+            half = order.shape[1] // 2
+            order = np.take_along_axis(order, np.argpartition(at[level % 2][order], half, axis=1), 1).reshape(-1, half)
+        inside = at[:, order]
+        boxes.append((inside.min(2), np.where(np.isinf(inside), -np.inf, inside).max(2)))  # padding lies in no box
+    px, py = at[0][order], at[1][order]
+    near = np.partition(np.maximum(np.abs(px[:, :, None] - px[:, None]), np.abs(py[:, :, None] - py[:, None])), k, axis=2)[:, :, : k + 1]
+    eps = near[:, :, k]
+    open_ = (order < n) & (eps > 0)
+    (x0, x1), (y0, y1) = ((np.where(open_, c - eps, np.inf).min(1), np.where(open_, c + eps, -np.inf).max(1)) for c in (px, py))
+    a = np.flatnonzero(open_.any(1))  # leaves with points that aren't settled, and nodes that may have nearer ones
+    b = np.zeros_like(a)
+    slack = 1e-12 * (np.abs(x).max() + np.abs(y).max())  # for the rounding of sums
+    for level in range(depth + 1):
+        if level:
+            a, b = np.repeat(a, 2), np.stack([2 * b, 2 * b + 1], 1).ravel()
+        (bx0, by0), (bx1, by1) = boxes[level]
+        met = (bx0[b] <= x1[a] + slack) & (bx1[b] >= x0[a] - slack) & (by0[b] <= y1[a] + slack) & (by1[b] >= y0[a] - slack)
+        a, b = a[met], b[met]
+    a, b = a[a != b], b[a != b]
+    size = order.shape[1]
+    best, flat = near.reshape(-1, k + 1), (px.ravel(), py.ravel())
+    (bx0, by0), (bx1, by1) = boxes[depth]
+    gap = lambda c, lo, hi: np.maximum(np.maximum(lo[b][:, None] - c[a], c[a] - hi[b][:, None]), 0)
+    pair, spot = np.nonzero(open_[a] & (np.maximum(gap(px, bx0, bx1), gap(py, by0, by1)) <= eps[a] + slack))
+    point, other = a[pair] * size + spot, b[pair]
+    by_point = np.argsort(point, kind="stable")
+    point, other = point[by_point], other[by_point]
+    turn = np.arange(len(point)) - np.searchsorted(point, point)
+    by_turn = np.argsort(turn, kind="stable")
+    ends = np.cumsum(np.bincount(turn)) if len(turn) else []
+    for first, last in zip([0, *ends], ends):  # each point's first leaf, second leaf, ...
+        for low in range(first, last, 100_000):
+            some = by_turn[low : min(last, low + 100_000)]
+            i, j = point[some], other[some]
+            far = np.maximum(np.abs(flat[0][i][:, None] - px[j]), np.abs(flat[1][i][:, None] - py[j]))
+            best[i] = np.partition(np.concatenate([best[i], far], 1), k, axis=1)[:, : k + 1]
+    out = np.empty(n + pad)
+    out[order.ravel()] = best.max(1)
+    return out[:n]
+
+
+def within(ordered: np.ndarray, x: np.ndarray, eps: np.ndarray) -> np.ndarray:
+    """How many of the ordered values differ from x by eps at most, as the subtraction rounds."""
+    n = len(ordered)
+    low, high = np.searchsorted(ordered, x - eps), np.searchsorted(ordered, x + eps, "right")
+    while (more := (low > 0) & (x - ordered[np.maximum(low - 1, 0)] <= eps)).any():
+        low = np.where(more, np.searchsorted(ordered, ordered[np.maximum(low - 1, 0)]), low)
+    while (less := (low < n) & (x - ordered[np.minimum(low, n - 1)] > eps)).any():
+        low = np.where(less, np.searchsorted(ordered, ordered[np.minimum(low, n - 1)], "right"), low)
+    while (more := (high < n) & (ordered[np.minimum(high, n - 1)] - x <= eps)).any():
+        high = np.where(more, np.searchsorted(ordered, ordered[np.minimum(high, n - 1)], "right"), high)
+    while (less := (high > 0) & (ordered[np.maximum(high - 1, 0)] - x > eps)).any():
+        high = np.where(less, np.searchsorted(ordered, ordered[np.maximum(high - 1, 0)]), high)
+    return high - low
+
+
 def ksg(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Kraskov's estimate with closed balls of the k-th Chebyshev distance."""
-    n, total, used = len(x), 0.0, 0
-    for low in range(0, n, 512):
-        dx, dy = np.abs(x[low : low + 512, None] - x), np.abs(y[low : low + 512, None] - y)
-        eps = np.partition(np.maximum(dx, dy), k, axis=1)[:, k, None]
-        nx, ny = (dx <= eps).sum(1) - 1, (dy <= eps).sum(1) - 1
-        fine = (nx > 0) & (ny > 0)
-        total += float((digamma(nx[fine]) + digamma(ny[fine])).sum())
-        used += int(fine.sum())
-    return max(0.0, float(digamma(np.array(float(k))) - total / max(1, used) + digamma(np.array(float(n)))))
-
-
-def _ksg(observations: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
-    """One task for each pair of variables, which needs both columns whole."""
-    spark = observations.sparkSession
-    long = observations.select("id", F.posexplode("values").alias("v", "x"))
-    both = spark.range(width * width).select((F.col("id") / width).cast("int").alias("src"), (F.col("id") % width).cast("int").alias("dst")).filter("src < dst")
-    a = long.join(F.broadcast(both), F.col("v") == F.col("src")).select("src", "dst", "id", "x")
-    b = long.join(F.broadcast(both), F.col("v") == F.col("dst")).select("src", "dst", "id", F.col("x").alias("y"))
+    """Kraskov's estimate with closed balls of the k-th Chebyshev distance, over observations that have both values."""
+    both = np.isfinite(x) & np.isfinite(y)
+    x, y = x[both], y[both]
+    if (n := len(x)) <= k:
+        return 0.0
+    eps = kth_nearest(x, y, k)
+    nx, ny = within(np.sort(x), x, eps) - 1, within(np.sort(y), y, eps) - 1
+    fine = (nx > 0) & (ny > 0)
+    total = float((digamma(nx[fine]) + digamma(ny[fine])).sum())
+    return max(0.0, float(digamma(np.array(float(k))) - total / max(1, int(fine.sum())) + digamma(np.array(float(n)))))
+
+
+def _ksg(observations: DataFrame, width: int, threshold: float, k: int, block: int = 8) -> DataFrame:
+    """One task for each pair of blocks of variables, which needs its columns whole."""
+    blocks = [range(low, min(width, low + block)) for low in range(0, width, block)]
+    both = [(p, q) for i, p in enumerate(blocks) for q in blocks[i:]]
+    columns = [[*p] if p == q else [*p, *q] for p, q in both]
+
+    def deal(frames):
+        for pdf in frames:
+            x = np.array(pdf["values"].tolist(), float).reshape(len(pdf), width)
+            for number, own in enumerate(columns):
+                yield pd.DataFrame({"number": [number], "x": [x[:, own].ravel()]})
 
     def run(key, pdf):
-        mi = ksg(pdf["x"].to_numpy(), pdf["y"].to_numpy(), k) if len(pdf) > k else 0.0
-        return pd.DataFrame({"src": [int(key[0])], "dst": [int(key[1])], "weight": [mi]})
+        (p, q), own = both[key[0]], columns[key[0]]
+        x = dict(zip(own, np.concatenate(pdf["x"].tolist()).reshape(-1, len(own)).T.copy()))
+        found = [(i, j, ksg(x[i], x[j], k)) for i in p for j in q if i < j]
+        return pd.DataFrame(found, columns=["src", "dst", "weight"])
 
-    found = a.join(b, ["src", "dst", "id"]).groupBy("src", "dst").applyInPandas(run, "src long, dst long, weight double")
+    dealt = observations.select("values").mapInPandas(deal, "number int, x array<double>")
+    found = dealt.groupBy("number").applyInPandas(run, "src long, dst long, weight double")
     return found.filter(F.col("weight") >= threshold).withColumn("mutual_information", F.col("weight"))
 
 
