@@ -96,6 +96,16 @@ def test_many_edited_copies_beside_an_exact_one(spark):
     assert got == {0: 1.0} | {k: round(57 / 72, 6) for k in range(1, 41)}
 
 
+def test_items_without_an_id_or_with_a_shared_one(spark):
+    texts = ["one two three four five six", "red green blue white black brown", "north east south west up down", "do re mi fa sol la"]
+    items = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, None)]
+    docs = spark.createDataFrame([(k, f"so {t} then") for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1, 100):
+        got = sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contaminated(docs, benchmark, block=block).collect())
+        assert got == [(0, 1, 1.0), (1, 1, 1.0), (2, None, 1.0), (3, None, 1.0)]
+
+
 def test_alignment_against_the_table():
     draw = random.Random(2)
     for _ in range(200):

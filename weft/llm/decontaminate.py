@@ -14,8 +14,9 @@ searched in all documents. Documents are never joined with one another, and no g
 gathered: hits are aligned one by one.
 
 Items with fewer than `n` words give one n-gram of their length. Null or empty texts and items match
-nothing; null ids are kept as they are. Repeated rows give repeated hits. Without hits the result is
-empty.
+nothing. An item is a distinct (item_id, text): texts that share an id, or whose id is null, are each
+searched, and each gives a row of its own. Documents are told apart by id: rows of one doc_id, or of
+none, give one row for each item. Without hits the result is empty.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow
 
 WORD = re.compile(r"[^\W_]+")
-HITS = "doc_id long, item_id long, start long, passage string"
+HITS = "doc_id long, number long, start long, passage string"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,15 +45,15 @@ def grams_of(words: list[str], n: int) -> list[str]:
 
 
 def item_hits(documents: DataFrame, items: list[tuple[int, list[str]]], n: int) -> DataFrame:
-    """A row for each document, item and place where n-grams of the item point to its beginning: start is
+    """A row for each document, item (by its number) and place where n-grams of the item point to its beginning: start is
     the first word of the passage around it."""
 
     def make():
         automaton = ahocorasick.Automaton()
         sources: dict[str, list[tuple[int, int, int]]] = {}
-        for number, (_, words) in enumerate(items):
+        for at, (_, words) in enumerate(items):
             for k, gram in enumerate(grams_of(words, n)):
-                sources.setdefault(f" {gram} ", []).append((number, k, gram.count(" ") + 1))
+                sources.setdefault(f" {gram} ", []).append((at, k, gram.count(" ") + 1))
         for key, found in sources.items():
             automaton.add_word(key, (key, found))
         automaton.make_automaton()
@@ -68,14 +69,14 @@ def item_hits(documents: DataFrame, items: list[tuple[int, list[str]]], n: int)
                 for end, (key, found) in hits:
                     place += joined.count(" ", before, end)  # words that end before this blank
                     before = end
-                    for number, k, size in found:
-                        met[number, place - size - k] = None
-                for number, begin in met:
-                    item_id, own = items[number]
+                    for at, k, size in found:
+                        met[at, place - size - k] = None
+                for at, begin in met:
+                    number, own = items[at]
                     low, high = max(0, begin - len(own) // 2), begin + len(own) + len(own) // 2 + 1
-                    for column, x in zip(out, (doc_id, item_id, low, " ".join(words[low:high]))):
+                    for column, x in zip(out, (doc_id, number, low, " ".join(words[low:high]))):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "item_id", "start", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "number", "start", "passage"])
 
         return each
 
@@ -120,36 +121,36 @@ def alignment(item: list[str], passage: list[str]) -> tuple[float, int, int]:
 def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word: the best passage of each document and item it holds."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
-    bounds = [r[0] for r in items.select("item_id").withColumn("k", F.row_number().over(Window.orderBy("item_id"))).filter((F.col("k") - 1) % block == 0).select("item_id").orderBy("item_id").collect()]
+    items = scratch.cut(benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct().withColumn("number", F.monotonically_increasing_id()))
+    bounds = [r[0] for r in items.select("number").withColumn("k", F.row_number().over(Window.orderBy("number"))).filter((F.col("k") - 1) % block == 0).select("number").orderBy("number").collect()]
     out = None
     for low, high in zip(bounds, [*bounds[1:], None]):
-        part = items.filter(F.col("item_id") >= low)
-        part = part.filter(F.col("item_id") < high) if high is not None else part
-        own = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
-        found = _block(documents, own, n, least, scratch)
+        part = items.filter(F.col("number") >= low)
+        part = part.filter(F.col("number") < high) if high is not None else part
+        rows = part.collect()
+        found = _block(documents, [(r["number"], words_of(r["text"])) for r in rows], {r["number"]: r["item_id"] for r in rows}, n, least, scratch)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
-def _block(documents: DataFrame, own: list[tuple[int, list[str]]], n: int, least: float, scratch: Scratch) -> DataFrame:
+def _block(documents: DataFrame, own: list[tuple[int, list[str]]], ids: dict[int, int | None], n: int, least: float, scratch: Scratch) -> DataFrame:
     hits = scratch.cut(item_hits(documents, own, n))
     words = dict(own)
 
     def make():
         def each(batch):
             best: dict[tuple, tuple] = {}
-            for doc_id, item_id, start, passage in zip(*(c.to_pylist() for c in batch.columns)):
-                own_words, there = words[item_id], passage.split(" ")
+            for doc_id, number, start, passage in zip(*(c.to_pylist() for c in batch.columns)):
+                own_words, there = words[number], passage.split(" ")
                 if most_possible(own_words, there) < least:
                     continue
                 score, a, b = alignment(own_words, there)
-                if score >= least and score > best.get((doc_id, item_id), (0.0,))[0]:
-                    best[doc_id, item_id] = (score, start + a, start + b)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), *(pa.array([v[j] for v in best.values()], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+                if score >= least and score > best.get((doc_id, number), (0.0,))[0]:
+                    best[doc_id, number] = (score, start + a, start + b)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), pa.array([ids[k[1]] for k in best], pa.int64()), *(pa.array([v[j] for v in best.values()], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "number", "item_id", "score", "start_word", "end_word"])
 
         return each
 
-    aligned = map_arrow(hits, make, "doc_id long, item_id long, score double, start_word long, end_word long")
+    aligned = map_arrow(hits, make, "doc_id long, number long, item_id long, score double, start_word long, end_word long")
     first = F.max(F.struct("score", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("x")
-    return aligned.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", F.round("x.score", 6).alias("score"), (-F.col("x.s")).alias("start_word"), (-F.col("x.e")).alias("end_word"))
+    return aligned.groupBy("doc_id", "number", "item_id").agg(first).select("doc_id", "item_id", F.round("x.score", 6).alias("score"), (-F.col("x.s")).alias("start_word"), (-F.col("x.e")).alias("end_word"))
