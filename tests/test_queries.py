@@ -1,6 +1,9 @@
 """Every registered graph query against its SQL, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,3 +45,15 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_the_llm_folders(tmp_path, pipeline):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = str(tmp_path / "copy")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *([] if pipeline else ["corpus_pipeline.py"])))
+    assert not os.path.exists(f"{copy}/weft/llm") and not os.path.exists(f"{copy}/tests/llm") and os.path.exists(f"{copy}/corpus_pipeline.py") == pipeline
+    code = "import pkgutil, importlib, weft, bench, __spark_entry__ as e; [importlib.import_module(m.name) for m in pkgutil.walk_packages(weft.__path__, 'weft.')]; from weft.catalog import QUERIES, ORACLES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
