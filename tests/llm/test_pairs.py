@@ -79,9 +79,12 @@ def test_decontamination(spark):
     texts = [(1, copy), (2, "clean text about nothing"), (3, None), (4, ""), (5, "xx short item yy"), (6, "alpha beta gamma delta words epsilon zeta eta theta iota extra kappa lambda mu"), (7, "the quick brown fox ran"), (8, copy), (8, copy), (None, copy)]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in texts], "doc_id long, text string, score double")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for block in (2, 100):
-        got = {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in decontaminate.contaminated(docs, benchmark, block=block).collect()}
-        assert set(got) == {(1, 1), (5, 2), (6, 5), (8, 1), (None, 1)}
+    for block in (60, 100_000):
+        found = decontaminate.contaminated(docs, benchmark, block_bytes=block).collect()
+        got = {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in found}
+        assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=str) == sorted([(1, 1), (5, 2), (6, 5), (8, 1), (8, 1), (None, 1)], key=str)
+        left = decontaminate.without_contaminated(docs, benchmark, block_bytes=block)
+        assert left.schema == docs.schema and sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4, 7]
         assert got[1, 1][1:] == (3, 18) and 0.8 < got[1, 1][0] < 1 and got[5, 2] == (1.0, 1, 3)
     assert decontaminate.contaminated(docs.limit(0), benchmark).collect() == []
     assert decontaminate.contaminated(docs, benchmark.limit(0)).collect() == []
@@ -101,11 +104,47 @@ def test_items_without_an_id_or_with_a_shared_one(spark):
     items = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, None)]
     docs = spark.createDataFrame([(k, f"so {t} then") for k, t in enumerate(texts)], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1, 100):
-        got = sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contaminated(docs, benchmark, block=block).collect())
+    for block in (1, 100_000):
+        got = sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contaminated(docs, benchmark, block_bytes=block).collect())
         assert got == [(0, 1, 1.0), (1, 1, 1.0), (2, None, 1.0), (3, None, 1.0)]
 
 
+def test_documents_are_told_apart_by_row(spark):
+    item = "one two three four five six seven"
+    rows = [(2, f"b {item} b"), (2, "clean text of two"), (3, "clean text of three"), (None, f"b {item}"), (None, "clean text of none"), (None, f"b {item}"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item), (7, "another item that nobody holds")], "item_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in decontaminate.without_contaminated(docs, benchmark).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+    assert sorted((r["doc_id"] for r in decontaminate.contaminated(docs, benchmark).collect()), key=str) == [2, None, None]
+
+
+def test_op9_against_plain_search(spark, small):
+    """All hits over sf0.001 and edited copies, against every item aligned to every whole text that shares four words with it."""
+    draw = random.Random(5)
+    items = [(r["item_id"], decontaminate.words_of(r["text"])) for r in table(spark, small, "benchmark").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, small, "documents").collect()]
+    for k, (_, words) in enumerate(items):  # copies with more and more edits: words changed, left out and put in
+        for edits in (1, 3, 6, 10, 14):
+            w = list(words)
+            for _ in range(edits):
+                at = draw.randrange(len(w))
+                w[at : at + draw.randint(0, 1)] = [f"edit{draw.randint(0, 99)}"] * draw.randint(0, 1)
+            docs.append((5000 + 10 * k + edits, f"some words ahead {' '.join(w)} and behind"))
+    expected = {}
+    for doc_id, text in docs:
+        there = decontaminate.words_of(text)
+        seeds = {" ".join(there[k : k + 4]) for k in range(len(there) - 3)}
+        for item_id, words in items:
+            if seeds & set(decontaminate.grams_of(words, 4)):
+                score, a, b = decontaminate.alignment(words, there)
+                if score >= 0.5:
+                    expected[doc_id, item_id] = round(score, 6)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame, table(spark, small, "benchmark")).collect()}
+    assert len(expected) > 100 and got == expected
+
+
 def test_alignment_against_the_table():
     draw = random.Random(2)
     for _ in range(200):
