@@ -7,9 +7,8 @@ again as the next one's docs. run() does so in the folder that the executors sha
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from weft.llm import decontaminate, minhash, queries, secrets, sentencepiece_bpe
-from weft.llm.common import Scratch, small_enough, table
+from weft.llm.common import Scratch, table
 from weft.llm.toxicity import without_toxic
 
 
@@ -24,11 +23,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item. Rows with a null id are checked like others, and go together."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = Scratch(spark).cut(hits.select(F.col("doc_id").alias("weft_gone")).distinct())
-    near = F.broadcast(gone) if small_enough(gone, 500_000) else gone
-    return docs.join(near, docs["doc_id"].cast("long").eqNullSafe(gone["weft_gone"]), "left_anti")
+    """The rows whose text holds no test item, each judged by its own text, whatever its id."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
