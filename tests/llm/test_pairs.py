@@ -1,12 +1,13 @@
 """Near duplicates, decontamination and the pipeline against plain versions."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
 import pytest
 from weft.llm import decontaminate, minhash, queries, secrets
-from weft.llm.common import Scratch, table
+from weft.llm.common import Scratch, hot_keys, salted_join, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,20 +17,45 @@ def near(text, words):
     return frozenset([tuple(w)] if 0 < len(w) < words else zip(*(w[k:] for k in range(words))) if w else ())
 
 
-def plain(rows, words):
-    sets = {i: near(t, words) for i, t in rows if i is not None}
-    top = {i: i for i in sets}
+def groups(rows, words):
+    """For each row its set's size and the rows of its component."""
+    sets, top = [near(t, words) for _, t in rows], list(range(len(rows)))
 
     def find(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for a, b in combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and (sets[a] == sets[b] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])):
             x, y = sorted((find(a), find(b)))
             top[y] = x
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    by = {}
+    for i in range(len(rows)):
+        by.setdefault(find(i), []).append(i)
+    return [(len(sets[i]), by[find(i)]) for i in range(len(rows))]
+
+
+def plain(rows, words):
+    """(doc_id, n_shingles, component_id, kept) of each row."""
+    out = []
+    for (i, _), (n, own) in zip(rows, groups(rows, words)):
+        ids = [rows[k][0] for k in own if rows[k][0] is not None]
+        least = (min(ids) if ids else None) if n else i
+        out.append((i, n, least, least is None or i == least))
+    return out
+
+
+def survivors(rows, words):
+    """Rows that near_dedup keeps: those without words, and of each component that with the least id, then text key."""
+    import hashlib
+
+    out = []
+    for k, (n, own) in enumerate(groups(rows, words)):
+        order = [(rows[j][0] is None, rows[j][0] or 0, hashlib.md5((rows[j][1] or "").encode()).digest(), j) for j in own]
+        if n == 0 or min(order)[3] == k:
+            out.append(rows[k])
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -50,17 +76,56 @@ def rows(spark, small):
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(spark, rows, words):
     docs = spark.createDataFrame([(i, t, True, 5) for i, t in rows], "doc_id long, text string, kept boolean, label long").repartition(3)
-    expected = plain(rows, words)
     got = minhash.near_duplicates(docs, words=words).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None and r["kept"]
-        else:
-            assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in got) == Counter(plain(rows, words))
     assert minhash.near_duplicates(docs.limit(0), words=words).collect() == []
-    shuffled = minhash.without_near_duplicates(docs, small=0, words=words)
-    assert shuffled.columns == docs.columns and {r["doc_id"] for r in shuffled.collect()} == {i for i, (_, c) in expected.items() if i == c} | {None}
+    left = minhash.without_near_duplicates(docs, small=0 if words == 2 else 500_000, words=words)
+    assert left.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(survivors(rows, words))
+
+
+def test_near_dedup_tells_documents_apart_by_row(spark):
+    a, b, c = "one two three four five six", "red green blue white black brown", "Do re mi fa so la"
+    cases = [(1, a), (1, a), (2, a), (3, b), (3, a), (None, b), (None, b), (None, c), (None, c), (None, c.upper()), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(cases)], "doc_id long, text string, row long")
+    for small in (0, 500_000):
+        left = minhash.without_near_duplicates(docs, small=small)
+        assert left.columns == docs.columns
+        assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in left.collect()), key=str) == sorted([(1, a), (3, b), (None, c.lower()), (4, ""), (4, ""), (None, "")], key=str)
+    assert Counter(tuple(r) for r in minhash.near_duplicates(docs).collect()) == Counter(plain(cases, 5))
+
+
+def test_hot_groups_just_below_the_threshold(spark):
+    """Two large groups of near copies and strangers made of both: many pairs of one bucket aren't linked."""
+    draw = random.Random(9)
+    first, second = ([f"{x}{draw.randint(0, 900)}" for _ in range(60)] for x in "ab")
+    cases = []
+    for k in range(240):
+        words = list(first if k % 3 else second)
+        if k % 5 == 0:
+            words[: draw.randint(4, 20)] = (second if k % 3 else first)[: draw.randint(4, 20)]
+        for _ in range(draw.randint(0, 5)):
+            words[draw.randrange(len(words))] = f"x{draw.randint(0, 40)}"
+        cases.append((k, " ".join(words)))
+    docs = spark.createDataFrame(cases, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in minhash.near_duplicates(docs, words=1).collect()) == Counter(plain(cases, 1))
+
+
+def test_components(spark):
+    draw = random.Random(3)
+    edges = [(7, k) for k in range(8, 1400)] + [(draw.randint(2000, 4000), draw.randint(2000, 4000)) for _ in range(900)] + [(5000 + k, 5001 + k) for k in range(40)]
+    scratch = Scratch(spark)
+    frame = scratch.cut(spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long"))
+    one, many = ({r["node"]: r["label"] for r in minhash.components(frame, scratch, n).collect()} for n in (10_000, 0))
+    assert one == many and one[1399] == 7 and one[5040] == 5000
+
+
+def test_salted_join(spark):
+    left = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(4000)], "key long, by long")
+    right = spark.createDataFrame([(k, -k) for k in range(9)], "key long, value long")
+    hot = hot_keys(left, "key", least=100, parts=4)
+    assert [r["key"] for r in hot.collect()] == [0] and [r["key"] for r in hot_keys(left.groupBy("key").count(), "key", "count", 100, 4).collect()] == [0]
+    expected = left.join(right, "key")
+    assert Counter(salted_join(left, right, "key", "by", hot).select(*expected.columns).collect()) == Counter(expected.collect())
 
 
 def test_signature_is_circulant():
@@ -176,7 +241,7 @@ def test_pipeline(spark, small):
         assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == names
         steps.append(out)
     rows = [[(r["doc_id"], r["text"]) for r in x.collect()] for x in steps[:5]]
-    assert {i for i, _ in rows[2]} == {i for i, (_, c) in plain(rows[1], 5).items() if i == c}
+    assert Counter(rows[2]) == Counter(survivors(rows[1], 5))
     leaks = {r["doc_id"] for r in decontaminate.contaminated(steps[2], table(spark, small, "benchmark")).collect()}
     assert {i for i, _ in rows[3]} == {i for i, _ in rows[2]} - leaks
     scanner = secrets.SecretScanner()
@@ -186,10 +251,27 @@ def test_pipeline(spark, small):
 
 
 def test_pipeline_on_odd_rows(spark, small):
-    odd = [(None, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "a " * 9000, "en", "s", 1)]
-    docs = spark.createDataFrame(odd, SCHEMA)
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        docs_after = stage(spark, docs, small)
-        assert docs_after.count() == len(odd)
+    item = next(r["text"] for r in table(spark, small, "benchmark").collect() if len(r["text"].split()) > 8)
+    a, b = "A calm text of eight good words here.", "Other words stand in this second calm text."
+    odd = [(None, None), (None, a), (None, a), (None, item), (1, None), (1, b), (1, b), (1, a), (2, ""), (2, ""), (3, "a " * 9000), (3, f"so {item}"), (4, "token = abcdef123")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in odd], SCHEMA)
+    expected, kept = [], docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = Scratch(spark).cut(stage(spark, kept, small))
+        if name == "toxicity":
+            field = queries.toxic_field(spark, docs, small)
+            expected = [r for r, score in zip(odd, field.scores([t or "" for _, t in odd])[0]) if score < 0.7]
+        elif name == "near_dedup":
+            expected = survivors(expected, 5)
+        elif name == "decontamination":
+            expected = [r for r in expected if item not in (r[1] or "")]
+        elif name == "secret_redaction":
+            expected = [(i, (t or "").replace("token = abcdef123", "[ASSIGN]") if t is not None else None) for i, t in expected]
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert kept.columns == docs.columns
+            assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(expected)
+        else:
+            assert Counter((r["doc_id"], r["decoded"]) for r in kept.collect()) == Counter((i, t or "") for i, t in expected)
+    assert len(expected) >= 8
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0

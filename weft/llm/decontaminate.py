@@ -145,7 +145,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int |
     return out
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word: the best passage of each item that a row's text holds."""
     out = None
     for block in item_blocks(benchmark, block_bytes):
@@ -166,7 +166,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least:
     return out if out is not None else documents.sparkSession.createDataFrame([], FOUND)
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
     """The rows, with all their columns, whose text holds no item."""
     names = documents.columns
     for block in item_blocks(benchmark, block_bytes):

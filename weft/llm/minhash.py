@@ -9,18 +9,23 @@ permutation. Bands of `rows` neighbouring coordinates are hashed to bucket keys.
 a pair of similarity 0.8 shares no bucket with probability 8e-6.
 
 How links are found without pairing whole groups:
-1. documents of equal sets form a class at once (by a 128-bit hash of the set); its smallest id stands for it;
+1. rows of equal sets form a class at once (by a 128-bit hash of the set), a node of the graph; the number of its first row names it;
 2. in each bucket every class is compared with the bucket's smallest, on full sets; components of these links follow;
 3. in buckets that still hold several components, a hub of the largest, drawn by hash, is compared with
    one class of each other component, and again while many pairs stand open and each turn closes a tenth
-   or more; then all pairs of different components that are left are compared, but those whose elements
-   that stand in other sets are too few for a link and those whose sketches of 4096 bits differ by far
-   too much. What is in one component already is never compared;
-4. components of links are found by least labels with shortcuts, later ones among components instead of
-   classes. Each turn's result is a written table.
-
-Null ids form no links, keep a null component and are kept; null texts are as empty. Rows that repeat
-an id stay or go together. An empty table gives an empty result. Other columns are not read.
+   or more;
+4. the classes of buckets that are open then are joined exactly: a link needs a common element among each one's
+   rarest (prefix filter: of n elements the n - ceil(0.8 n) + 1 that the fewest of these classes have), so only classes
+   of different components that share one are compared. Each comparison is of full sets, and no test is by chance;
+5. components of links are found by least labels with shortcuts (a few links in one task), later ones among
+   components instead of classes. Each turn's result is a written table.
+Keys that a great part of all rows have (a class of exact copies, a hub, a bucket, an element) are dealt to many tasks.
+
+Defined results: rows are told apart by themselves, not by id. Rows with a null id are linked like others; their
+component_id is the smallest id of their component, or null if it has none, and then they count as kept. Rows that
+repeat an id each have their own text's component. Null texts are as empty: no set, component_id is the row's own id,
+kept. An empty table gives an empty result. Of equal similarity nothing is decided: links are yes or no, and the smallest
+id stands for a component. Columns other than id and text are not read; without_near_duplicates() keeps them.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, small_enough
+from .common import Scratch, components_in_one_task, hot_keys, map_arrow, salted_join, small_enough
 
 U = np.uint64
 
@@ -101,115 +106,105 @@ class CirculantMinHash:
         return Shingler._mixed((parts * self.factors).sum(axis=1, dtype=U) + self.number).view(np.int64)
 
 
+def row_key(text: Column) -> Column:
+    """16 bytes that tell texts apart."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
 def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set size, the set's 128-bit hash, and bucket keys."""
+    """A row for each document: its number, doc_id, key of its text, set size, the set's 128-bit hash, and bucket keys."""
 
     def make():
         shingler, hasher = Shingler(words), CirculantMinHash(bands, rows)
 
         def each(batch):
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sizes, hashes, keys = [], [], []
-                for text in part.column(1).to_pylist():
-                    e = shingler.elements(text or b"")
-                    sizes.append(len(e))
-                    hashes.append(np.frombuffer(hashlib.blake2b(e.tobytes(), digest_size=16).digest(), np.int64))
-                    keys.append(hasher.keys(e) if len(e) else np.empty(0, np.int64))
-                offsets = np.zeros(len(keys) + 1, np.int32)
-                np.cumsum([len(k) for k in keys], out=offsets[1:])
-                h = np.array(hashes).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+            sizes, hashes, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                e = shingler.elements(text or b"")
+                sizes.append(len(e))
+                hashes.append(np.frombuffer(hashlib.blake2b(e.tobytes(), digest_size=16).digest(), np.int64))
+                keys.append(hasher.keys(e) if len(e) else np.empty(0, np.int64))
+            h = np.array(hashes).reshape(-1, 2)
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), list_array(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "h1", "h2", "keys"])
 
         return each
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), make, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    texts = documents.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("text_key"), F.col("text").cast("binary"))
+    return map_arrow(texts, make, "doc_id long, text_key binary, n_shingles long, h1 long, h2 long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+
 
+def list_array(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
 
-def element_sets(documents: DataFrame, words: int) -> DataFrame:
-    """node and its whole set of hashed elements."""
+
+def element_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node and its whole set of hashed elements, of rows (node, text)."""
 
     def make():
         shingler = Shingler(words)
 
         def each(batch):
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                sets = [shingler.elements(x or b"").view(np.int64) for x in part.column(1).to_pylist()]
-                offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(s) for s in sets], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "elements"])
+            sets = [shingler.elements(x or b"").view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets)], names=["node", "elements"])
 
         return each
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), make, "node long, elements array<long>")
+    return map_arrow(texts.select("node", F.col("text").cast("binary")), make, "node long, elements array<long>")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets have 100 * intersection >= percent * union."""
+    """Of written pairs (a, b), those whose sets have 100 * intersection >= percent * union. A hub has very many pairs."""
     left, right = sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
     small, large = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
-    met = pairs.join(left, "a").join(right, "b").filter(100 * small >= percent * large)
+    met = salted_join(salted_join(pairs, left, "a", "b", hot_keys(pairs, "a")), right, "b", "a", hot_keys(pairs, "b")).filter(100 * small >= percent * large)
     both = F.size(F.array_intersect("set_a", "set_b"))
     return met.filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-SKETCH = 4096  # bits
-
-
-def sketches(sets: DataFrame) -> DataFrame:
-    """node and the lowest bits of 4096 further circulant coordinates, in 64 longs."""
-
-    def make():
-        hasher = CirculantMinHash(SKETCH, 1, seed=17)
-
-        def each(batch):
-            out = [np.packbits((hasher.signature(np.array(e, np.int64).view(U)) & 1).astype(np.uint8)).view(np.int64).tolist() for e in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "sketch"])
-
-        return each
-
-    return map_arrow(sets.select("node", "elements"), make, "node long, sketch array<long>")
-
-
-def open_nodes(sets: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, its set's size, how many of its elements some other of these nodes has as well (no
-    intersection among them is larger), its sketch and its bucket keys."""
+def open_pairs(sets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of these nodes that may be linked and belong to different components: all that share an element
+    of their prefixes. Elements are ordered by how many of the nodes have them; a prefix is so long that sets of the similarity
+    asked for can't do without a common element there."""
     own = sets.join(nodes, "node").select("node", "elements")
-    alone = own.select("node", F.explode("elements").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    keys = signed.join(nodes, signed["doc_id"] == nodes["node"]).select("node", "keys").dropDuplicates(["node"])
-    sized = own.select("node", F.size("elements").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    return sized.join(sketches(own), "node").join(keys, "node")
-
-
-def may_link(percent: int):
-    """Whether members a and b of one bucket shall be compared: they belong to different components, this
-    is the first of their common buckets, their shared elements would do, and their sketches don't differ
-    by more than five deviations beyond what the least similarity gives (missed: 3 in 10 million)."""
-    most = F.least("shared_a", "shared_b")
-    p = percent / 100
-    q = (1 + p) / 2
-    differ = (1 - p + 10 * (q * (1 - q) / SKETCH) ** 0.5) / 2 * SKETCH
-    apart = None
-    for k in range(SKETCH // 64):
-        x = F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k))))
-        apart = x if apart is None else apart + x
-    first = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key_a")
-    return (F.col("key_a") == F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("rep_a") < F.col("rep_b")) & (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)) & (apart <= differ) & first
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label): the least node that each node of the edges (a, b) reaches."""
+    counts = own.select("node", F.explode("elements").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    counts = scratch.cut(counts)
+    alone = counts.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))  # elements that no other node has
+    prefix = F.size("elements") - F.ceil(F.size("elements") * F.lit(percent) / 100 - 1e-9) + 1
+    live = own.join(alone, "node", "left").withColumn("length", prefix - F.coalesce("alone", F.lit(0))).filter("length > 0")
+    each = live.select("node", "length", F.explode("elements").alias("x"))
+    shared = counts.filter("n > 1").select("x", "n")
+    ranked = salted_join(each, shared, "x", "node", hot_keys(counts, "x", "n")).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "x")))
+    chosen = scratch.cut(ranked.filter("rank <= length").select("node", "x").join(labels, "node"))
+    # of an element's components the largest is met by the others; the others are also held against one another
+    sizes = chosen.groupBy("x", "label").agg(F.count("*").alias("m")).groupBy("x").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("labels"))
+    sizes = scratch.cut(sizes.filter("labels > 1").select("x", F.col("top.label").alias("top"), "m"))
+    hot = hot_keys(sizes, "x", "m")
+    placed = scratch.cut(salted_join(chosen, sizes.select("x", "top"), "x", "node", hot))
+    side = lambda end: placed.select("x", "top", F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    met = salted_join(side("b"), side("a").filter("label_a <> top").drop("top"), "x", "b", hot)
+    met = met.filter((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch, in_one_task: int = 200_000) -> DataFrame:
+    """(node, label): the least node that each node of the edges (a, b), a written table, reaches. Up to `in_one_task` edges
+    are united in a task; more by least labels, turn by turn, with the same result."""
+    if edges.count() <= in_one_task:
+        return scratch.cut(components_in_one_task(edges))
     both = scratch.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hot = hot_keys(both, "b")
     labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a", hot).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         better = labels.join(near, "node").select("node", F.least("label", "near").alias("best"), F.col("label").alias("was"))
         over = labels.select(F.col("node").alias("best"), F.col("label").alias("further"))
-        fresh = scratch.cut(better.join(over, "best").select("node", F.least("best", "further").alias("label"), "was"))
+        better = scratch.cut(better)
+        fresh = scratch.cut(salted_join(better, over, "best", "node", hot_keys(better, "best")).select("node", F.least("best", "further").alias("label"), "was"))
         changed = fresh.filter("label < was").limit(1).count()
-        scratch.drop(labels)
+        scratch.drop(labels, better)
         labels = fresh.select("node", "label")
         labels._weft_path = fresh._weft_path
         if not changed:
@@ -220,65 +215,95 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Labels after further links (a, b): components of labels instead of nodes."""
     left, right = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    between = scratch.cut(links.join(left, "a").join(right, "b").filter("label_a <> label_b").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct())
+    met = salted_join(salted_join(links, left, "a", "b", hot_keys(links, "a")), right, "b", "a", hot_keys(links, "b"))
+    between = scratch.cut(met.filter("label_a <> label_b").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct())
     if not between.limit(1).count():
         return labels
     found = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("further"))
-    return scratch.cut(labels.join(found, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+    changed = salted_join(labels, found, "label", "node", hot_keys(labels, "label")).select("node", F.col("further").alias("label"))
+    same = labels.join(found, "label", "left_anti").select("node", "label")
+    return scratch.cut(changed.unionByName(same))
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, small: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that a chain of links reaches) and kept."""
-    scratch = Scratch(documents.sparkSession)
+def clustered(documents: DataFrame, scratch: Scratch, words: int, percent: int, bands: int, rows: int, small: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, and of each row's component (null for rows without a set) the row that stands for it:
+    `first`, a struct of its doc_id and text_key, the smallest id before null ones."""
     signed = scratch.cut(signatures(documents, words, bands, rows))
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes.select("rep"), signed["doc_id"] == F.col("rep"), "left_semi").filter("n_shingles > 0")
-    entries = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub")
-    members = scratch.cut(entries.join(hubs, "key"))  # of buckets with several classes, the hub itself included
-    nodes = scratch.cut(members.select(F.col("rep").alias("node")).distinct())
-    wanted = F.broadcast(nodes) if small_enough(nodes, small) else nodes
-    sets = scratch.cut(element_sets(documents.join(wanted, documents["doc_id"] == nodes["node"], "left_semi"), words).filter(F.size("elements") > 0))
-    tested = scratch.cut(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = scratch.cut(signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), first))
+    reps = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "text_key", "keys")
+    entries = reps.select("node", F.explode("keys").alias("key"))
+    buckets = scratch.cut(entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    members = scratch.cut(salted_join(entries, buckets.select("key", "hub"), "key", "node", hot_keys(buckets, "key", "n")))  # of buckets with several classes, the hub itself included
+    nodes = scratch.cut(reps.select("node", "text_key").join(members.select("node").distinct(), "node", "left_semi"))
+    wanted = nodes.select("node", F.col("text_key").alias("weft_key"))
+    texts = documents.select("text").join(F.broadcast(wanted) if small_enough(wanted, small) else wanted, row_key(F.col("text")) == F.col("weft_key"))
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # equal texts; copies are dropped before the shuffle
+    sets = scratch.cut(element_sets(texts, words))
+    tested = scratch.cut(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     labels = nodes.select("node", F.col("node").alias("label"))
     labels = merged(labels, scratch.cut(linked_pairs(tested, sets, percent)), scratch)
     open_before = None
     for turn in range(1000):  # ends before, as what is open shrinks each time by a tenth at least
         # buckets that still hold several components, how many pairs stand open in them, and a hub of the largest component
-        placed = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep")
-        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep")).alias("drawn")
-        by_label = scratch.cut(placed.groupBy("key", "label").agg(F.count("*").alias("n"), drawn).select("key", "label", "n", "drawn.rep"))
-        hub = F.max(F.struct("n", F.col("label").alias("hub_label"), F.col("rep").alias("hub"))).alias("x")
+        placed = members.select("key", "node").join(labels, "node")
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("drawn")
+        by_label = scratch.cut(placed.groupBy("key", "label").agg(F.count("*").alias("n"), drawn).select("key", "label", "n", F.col("drawn.node").alias("node")))
+        hub = F.max(F.struct("n", F.col("label").alias("hub_label"), F.col("node").alias("hub"))).alias("x")
         mixed = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"), hub).filter("labels > 1 and n > 2")
-        mixed = scratch.cut(mixed.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), "x.hub", "x.hub_label"))
+        mixed = scratch.cut(mixed.select("key", "n", "labels", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), "x.hub", "x.hub_label"))
         sums = mixed.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
         if not sums["n"]:
             break
         last = sums["pairs"] <= sums["n"] / 4 or (open_before is not None and sums["pairs"] > 0.9 * open_before)
         open_before = sums["pairs"]
-        if last:  # few are left: all of them
-            some = scratch.cut(placed.join(mixed.select("key"), "key", "left_semi"))
-            of = scratch.cut(open_nodes(sets, signed, some.select(F.col("rep").alias("node")).distinct()).withColumnRenamed("node", "rep"))
-            some = scratch.cut(some.join(of, "rep"))
-            side = lambda x: some.select(*(F.col(c).alias(f"{c}_{x}") for c in some.columns))
-            fresh = side("a").join(side("b"), may_link(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        if last:  # hubs close few of the pairs that are left: all of them
+            some = placed.join(mixed.select("key"), "key", "left_semi").select("node").distinct()
+            fresh = open_pairs(sets, labels, scratch.cut(some), percent, scratch)
         else:  # the hub against one of each other component
-            fresh = by_label.join(mixed.select("key", "hub", "hub_label"), "key").filter("label <> hub_label").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+            met = salted_join(by_label.select("key", "label", "node"), mixed.select("key", "hub", "hub_label"), "key", "node", hot_keys(mixed, "key", "labels"))
+            fresh = met.filter("label <> hub_label").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         fresh = scratch.cut(fresh.join(tested, ["a", "b"], "left_anti"))
         labels = merged(labels, scratch.cut(linked_pairs(fresh, sets, percent)), scratch)
         if last:
             break
         tested = tested.unionByName(fresh)
-    result = signed.drop("keys").join(classes, ["h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
-    out = scratch.cut(result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    # what stands for each component, brought to its classes and then to their rows
+    placed = scratch.cut(classes.join(labels, "node", "left").select("h1", "h2", "n", "first", F.coalesce("label", "node").alias("label")))
+    best = placed.groupBy("label").agg(F.min("first").alias("best"))
+    known = scratch.cut(salted_join(placed, best, "label", "h1", hot_keys(placed, "label")).select("h1", "h2", "n", "best"))
+    with_set = signed.filter("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "h1", "h2")
+    of = F.struct(F.col("best.doc_id").alias("doc_id"), F.col("best.text_key").alias("text_key")).alias("first")
+    # classes that hold a great part of all rows are broadcast; there are fewer than 4096 of these
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(known.filter(F.col("n") > max(1000, total // 4096)).drop("n"))
+    names = ("doc_id", "text_key", "n_shingles", of)
+    found = with_set.join(hot, ["h1", "h2"]).select(*names).unionByName(with_set.join(hot, ["h1", "h2"], "left_anti").join(known, ["h1", "h2"]).select(*names))
+    none = signed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("struct<doc_id:bigint,text_key:binary>").alias("first"))
+    out = scratch.cut(found.unionByName(none))
     scratch.drop_others(out)
     return out
 
 
-def without_near_duplicates(documents: DataFrame, small: int = 500_000, **how) -> DataFrame:
-    """All columns of one document of each group."""
-    gone = near_duplicates(documents, small=small, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("weft_gone")).distinct()
-    gone = Scratch(documents.sparkSession).cut(gone)
-    return documents.join(F.broadcast(gone) if small_enough(gone, small) else gone, documents["doc_id"] == gone["weft_gone"], "left_anti")
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, small: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that a chain of links reaches) and kept, for each row."""
+    found = clustered(documents, Scratch(documents.sparkSession), words, percent, bands, rows, small)
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, small: int = 500_000) -> DataFrame:
+    """All columns of one row of each component: that with the smallest id (null ids last), and of several such rows that with
+    the smallest key of its text. Of rows that repeat both id and text one stays; rows without words all stay."""
+    scratch = Scratch(documents.sparkSession)
+    found = clustered(documents, scratch, words, percent, bands, rows, small).filter("n_shingles > 0")
+    own = found.select("doc_id", "text_key", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays"))
+    own = own.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+    marked = scratch.cut(own.select(F.col("doc_id").alias("weft_id"), F.col("text_key").alias("weft_key"), F.col("stays").alias("weft_stays")))
+    gone, repeated = marked.filter("not weft_stays"), marked.filter("weft_stays")
+    on = documents["doc_id"].cast("long").eqNullSafe(F.col("weft_id")) & (row_key(documents["text"]) == F.col("weft_key"))
+    near = F.broadcast if small_enough(marked, small) else (lambda x: x)
+    if not repeated.limit(1).count():
+        return documents.join(near(gone), on, "left_anti")
+    once = documents.join(near(repeated), on).groupBy("weft_id", "weft_key").agg(F.first(F.struct(*(documents[c] for c in documents.columns))).alias("weft_row"))
+    return documents.join(near(marked), on, "left_anti").unionByName(once.select("weft_row.*"))
