@@ -1,22 +1,32 @@
-"""Secret scans: one deterministic automaton for all rules, in transition arrays.
+"""Secret scans: one deterministic automaton for all rules, in transition arrays, with counters for long runs.
 
 Each rule is a regular expression over bytes. The reversed expressions of all rules, each after any
 bytes, are compiled together: Thompson's construction, subset construction, then minimisation by
-refining classes of states. (For a rule with a long counted run its head alone goes in there, else the
-product of all counters would make millions of states; the rule's own automaton decides on the rest.) One pass over a text's bytes, from its end, steps through that automaton's
-array and marks each place where a rule can start. From such a place the rule's own small automaton,
-compiled likewise, runs forward to the longest end. Matches are taken leftmost first and don't overlap
-within a rule. (For these rules the longest match is also the one that greedy matching finds.)
+refining classes of states. One pass over a text's bytes, from its end, steps through that automaton's
+array and marks each place where a rule's match begins, for all rules at once.
+
+A counted run, as in AKIA[A-Z0-9]{16,}, that comes after a literal head stands in the automaton as a run of one
+or more: the product of all rules' counters would make millions of states. Its length is checked by a
+counter beside the automaton, a table of where each set's runs end, made once for a text and set. So every place that
+is marked is judged in logarithmic time, whatever follows, and a text in time in proportion to its length.
+A rule with such runs must be a sequence of sets and of runs that end where their set's bytes end
+(checked when it is compiled); the end of its match is then the only one there is. The other rules' own small automata
+walk forward from a marked place over the match itself, to its longest end. Matches are taken leftmost first and don't
+overlap within a rule. (For these rules the longest match is also the one that greedy matching finds.)
 
 A rule can ask for a least length of the match or of its last part; matches that fail it are dropped
-after they have used up their text. Null or empty texts have no spans. Offsets count code points, the
-end exclusive.
+after they have used up their text.
+
+Defined results: null or empty texts have no spans; offsets count code points, the end exclusive; spans
+that begin together are in the order of the rules. Rows that repeat give repeated results, null ids stay null, an
+empty table gives an empty result. Columns other than id and text aren't read; redact_secrets() keeps them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,23 +42,22 @@ class Rule:
     pattern: str
     least: int = 0  # characters of the match, without what `lead` matches
     lead: str = ""  # a pattern that stands before what counts, a part of `pattern`
-    head: str = ""  # a pattern that every match begins with, where the combined automaton shall look for that alone
 
 
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?"
 # The kinds that the contract asks for, in its order.
 BASE_RULES = (
     Rule("assign", ASSIGN + "[A-Za-z0-9+/_.=-]+", 6, ASSIGN),
-    Rule("access", "AKIA[A-Z0-9]{16,}", head="AKIA"),
+    Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
 )
 # Public formats of further secrets.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", head="-----BEGIN "),
-    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", head="gh[opsur]_"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", head="xox[abprs]-"),
-    Rule("google", "AIza[A-Za-z0-9_-]{35,}", head="AIza"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", head="eyJ"),
+    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35,}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}"),
 )
 
 
@@ -237,12 +246,53 @@ def compile_table(trees, anywhere: bool) -> Table:
     return Table(classes, moves, place[group[0]], min(rules, default=len(moves) + width), rules, dead)
 
 
+def counted(pattern: str) -> list[tuple[str, frozenset[int], int]] | None:
+    """The parts of a rule with counted runs behind a head: ("one", set, 1) for a byte, ("run", set, n) for n or more of a set. None for
+    other rules. ValueError where a run's end isn't the end of its set's bytes."""
+    tree, parts = parse(pattern), []
+    for part in tree[1] if tree[0] == "cat" else [tree]:
+        if part[0] == "set":
+            parts.append(("one", part[1], 1))
+        elif part[0] == "cat" and all(x == part[1][0] for x in part[1][:-1]) and part[1][0][0] == "set" and part[1][-1] == ("star", part[1][0]):
+            parts.append(("run", part[1][0][1], len(part[1]) - 1))
+        else:
+            return None
+    if parts[0][0] == "run" or all(n == 1 for _, _, n in parts):
+        return None
+    if any(kind == "run" and own & after for (kind, own, _), (_, after, _) in zip(parts, parts[1:])):
+        raise ValueError(f"a counted run must end where its bytes end: {pattern}")
+    return parts
+
+
+def relaxed(parts: list[tuple[str, frozenset[int], int]]):
+    """The tree of a rule whose counted runs are of one or more."""
+    return ("cat", [("set", own) if kind == "one" else ("cat", [("set", own), ("star", ("set", own))]) for kind, own, _ in parts])
+
+
+class RunEnds:
+    """Where the runs of sets of bytes end in one text."""
+
+    def __init__(self, text: bytes):
+        self.text, self.breaks = np.frombuffer(text, np.uint8), {}
+
+    def after(self, own: frozenset[int], at: int) -> int:
+        """The first place from `at` on whose byte isn't in the set."""
+        if own not in self.breaks:
+            other = np.ones(256, bool)
+            other[list(own)] = False
+            self.breaks[own] = np.flatnonzero(other[self.text])
+        found = self.breaks[own]
+        k = int(np.searchsorted(found, at))
+        return int(found[k]) if k < len(found) else len(self.text)
+
+
 class SecretScanner:
     def __init__(self, rules=BASE_RULES + MORE_RULES):
         self.rules = rules
         trees = [parse(r.pattern) for r in rules]
-        self.all = compile_table([reverse(parse(r.head) if r.head else t) for r, t in zip(rules, trees)], anywhere=True)
-        self.own = [compile_table([t], anywhere=False) for t in trees]
+        self.parts = [counted(r.pattern) for r in rules]
+        self.all = compile_table([reverse(relaxed(p) if p else t) for p, t in zip(self.parts, trees)], anywhere=True)
+        self.own = [None if p else compile_table([t], anywhere=False) for p, t in zip(self.parts, trees)]
         self.leads = [compile_table([parse(r.lead)], anywhere=False) if r.lead else None for r in rules]
 
     @staticmethod
@@ -257,6 +307,21 @@ class SecretScanner:
                 end = at + 1
         return end
 
+    @staticmethod
+    def _by_runs(parts, text: bytes, ends: RunEnds, at: int) -> int:
+        """The end of a counted rule's match from `at`, or -1."""
+        for kind, own, least in parts:
+            if kind == "one":
+                if at == len(text) or text[at] not in own:
+                    return -1
+                at += 1
+            else:
+                end = ends.after(own, at)
+                if end - at < least:
+                    return -1
+                at = end
+        return at
+
     def scan(self, text: bytes) -> list[tuple[int, int, int]]:
         """(rule, start, end) in bytes, by start and then rule."""
         table = self.all
@@ -266,13 +331,15 @@ class SecretScanner:
             state = moves[state + c]
             if state >= accepting:
                 starts.append((at, state))
-        found, free = [], [0] * len(self.rules)
+        if not starts:
+            return []
+        found, free, ends = [], [0] * len(self.rules), RunEnds(text)
         for start, state in reversed(starts):
             for rule in table.rules[state]:
                 if start >= free[rule]:
-                    end = self._longest(self.own[rule], text, start)
+                    end = self._by_runs(self.parts[rule], text, ends, start) if self.parts[rule] else self._longest(self.own[rule], text, start)
                     if end < 0:
-                        continue  # a head alone
+                        continue  # a run is too short
                     free[rule] = end
                     size = end - (self._longest(self.leads[rule], text, start) if self.leads[rule] else start)
                     if size >= self.rules[rule].least:
