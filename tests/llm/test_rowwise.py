@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from weft.llm import licenses, line_rules, queries, secrets, sharding, url_filters
 
 ODD = [
@@ -250,8 +251,155 @@ def test_classifiers_on_odd_texts(spark, docs, small):
     assert scored.count() == docs.count() and scored.filter("score is null or isnan(score)").count() == 0
     kept = toxicity.without_toxic(docs, field, 0.7)
     assert kept.schema == docs.schema and kept.count() == scored.filter("score < 0.7").count()
+    sums = scored.filter("size(spans) > 0").join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
+    assert sums.selectExpr("exists(spans, s -> s.start < 0 or s.end > length(t) or s.start >= s.end) as bad").filter("bad").count() == 0
     ranker = quality.PairwiseRanker().fit([("good text here. And more.", 1), ("BAD!! BAD!! BAD!!", 0)] * 5, {1: 5, 0: 5})
     assert quality.score_quality(docs, ranker).filter("score between 0 and 1").count() == docs.count()
-    assert quality.PairwiseRanker().fit([("a", 1)], {1: 1}).scores([b"x"]).tolist() == [1] == quality.PairwiseRanker().fit([], {}).scores([b"x"]).tolist()
+    assert quality.PairwiseRanker().fit([("a", 1)], {1: 1}).raw([b"x"]).tolist() == [1] == quality.PairwiseRanker().fit([], {}).raw([b"x"]).tolist()
     assert toxicity.ToxicField().fit([], {}).scores(["x", ""])[0].tolist() == [0, 0]
     assert toxicity.without_toxic(docs, toxicity.ToxicField().fit([("a", 1)], {1: 1}), 0.7).count() == 0
+
+
+def tagging_weights(field, words):
+    """Log weights of all taggings of a chain, written out by definition."""
+    from itertools import product
+
+    from weft.llm.toxicity import features
+
+    h = field._hash
+    odds = [field.bias + sum(field.own[h(f)] for f in features(w)) for w in words]
+    for t in range(len(words)):
+        odds[t] += field.near[0, h("=" + words[t - 1])] if t else 0
+        odds[t] += field.near[1, h("=" + words[t + 1])] if t + 1 < len(words) else 0
+    moves = {(0, 0): 0.0, (0, 1): field.moves[0], (1, 0): field.moves[1], (1, 1): field.moves[2]}
+    return {y: sum(o for o, k in zip(odds, y) if k) + sum(moves[s] for s in zip(y, y[1:])) for y in product((0, 1), repeat=len(words))}
+
+
+def random_field():
+    import numpy as np
+    from weft.llm.toxicity import ToxicField
+
+    rng, field = np.random.default_rng(3), ToxicField(bits=10)
+    field.own, field.near, field.bias, field.moves = rng.normal(size=field.size) / 2, rng.normal(size=(2, field.size)) / 2, -0.5, rng.normal(size=3)
+    return field
+
+
+def test_marginals_against_all_taggings():
+    import numpy as np
+
+    field = random_field()
+    text = "One two THREE. four\nfive six seven eight nine! İİ x. " + "long " * 9 + "end"
+    (p, ends), at = field.marginals([text, "", "alone"]), 0
+    assert ends == [0, len(re.findall(r"\w+|[.!?\n]", text)), ends[1], ends[1] + 1] or ends[1] <= ends[2] <= ends[3]
+    tokens = re.findall(r"\w+|[.!?\n]", text)
+    for part in re.split(r"[.!?\n]", text):
+        words = [w.lower() for w in re.findall(r"\w+", part)]
+        if words:
+            weights = tagging_weights(field, words)
+            top = max(weights.values())
+            whole = sum(np.exp(v - top) for v in weights.values())
+            expected = [sum(np.exp(v - top) for y, v in weights.items() if y[t]) / whole for t in range(len(words))]
+            assert np.allclose(p[at : at + len(words)], expected)
+        at += len(words) + 1
+    assert len(tokens) == ends[1]
+
+
+def test_sweeps_of_few_and_of_many_chains_agree():
+    import numpy as np
+
+    field, rng = random_field(), np.random.default_rng(8)
+    odds, sizes = rng.normal(size=(20, 30)) * 3, rng.integers(1, 31, 20)
+    mask = np.arange(30) < sizes[:, None]
+    many = field._sweep(odds, mask)
+    for k in range(20):
+        few = field._sweep(odds[k : k + 1], mask[k : k + 1])
+        assert all(np.allclose(a[0, : sizes[k]], b[k, : sizes[k]]) for a, b in zip(few, many))
+
+
+def test_gradient_against_differences():
+    import numpy as np
+
+    field = random_field()
+    chains, tags = [["a", "bad", "word"], ["fine"], ["bad", "bad", "a", "fine", "word"]], [[0, 1, 1], [0], [1, 1, 0, 0, 0]]
+    theta = np.concatenate([field.own, *field.near, [field.bias], field.moves])
+
+    def likelihood(theta):
+        size = field.size
+        field.own, field.near, field.bias, field.moves = theta[:size], theta[size : 3 * size].reshape(2, size), theta[-4], theta[-3:]
+        out = 0.0
+        for words, y in zip(chains, tags):
+            weights = tagging_weights(field, words)
+            out += weights[tuple(y)] - np.logaddexp.reduce(list(weights.values()))
+        return out
+
+    g = field.gradient(theta, field._packed(chains, tags))
+    places = [*np.flatnonzero(g)[:40], len(theta) - 1, len(theta) - 4]
+    for k in places:
+        e = np.zeros(len(theta))
+        e[k] = 1e-5
+        assert abs((likelihood(theta + e) - likelihood(theta - e)) / 2e-5 - g[k]) < 1e-6
+
+
+def test_toxic_offsets():
+    import numpy as np
+    from weft.llm.toxicity import ToxicField
+
+    field = ToxicField()
+    text = "İİ badword. ok Badword!"
+    p, _ = field.marginals([text])
+    marks = np.array([0.0, 0.9, 0.0, 0.0, 0.9, 0.0])
+    assert len(p) == len(marks) and [text[a:b] for a, b in field.spans(text, marks)] == ["badword", "Badword"]
+
+
+def test_toxic_chains_come_from_all_documents():
+    from weft.llm.toxicity import ToxicField
+
+    rows = [(f"plain words number {k} stand here. and more of {k}", 0) for k in range(300)] + [(f"vile thing {k} here. plain words", 1) for k in range(40)]
+    met = []
+
+    class Seen(ToxicField):
+        def _train(self, chains, tags):
+            met.extend(zip(chains, tags))
+            super()._train(chains, tags)
+
+    field = Seen(clean_each=1, clean_least=20).fit(rows, {0: 300, 1: 40})
+    clean = [c for c, t in met if not any(t)]
+    assert len(met) == 40 + 40 + 20 and len({w for c in clean for w in c if w.isdigit() and int(w) >= 150}) > 10
+    assert (field.scores(["a vile thing", "plain words"])[0] >= 0.7).tolist() == [True, False]
+
+
+def test_pairwise_fit_against_all_pairs():
+    import numpy as np
+    from weft.llm.quality import pair_steps
+
+    rng = np.random.default_rng(2)
+    good, bad, w = rng.normal(1, 1, (7, 3)), rng.normal(0, 1, (9, 3)), rng.normal(size=3)
+    loss = lambda w: sum(-np.log1p(np.exp(-(g - b) @ w)) for g in good for b in bad)
+    gradient, curvature = pair_steps(good, bad, w)
+    for k in range(3):
+        e = np.zeros(3)
+        e[k] = 1e-5
+        assert abs((loss(w + e) - loss(w - e)) / 2e-5 - gradient[k]) < 1e-6
+        assert np.allclose((pair_steps(good, bad, w + e)[0] - pair_steps(good, bad, w - e)[0]) / 2e-5, -curvature[k], atol=1e-5)
+
+
+def test_quality_threshold_is_a_quantile_of_all_scores(spark):
+    import numpy as np
+    from weft.llm import quality
+
+    rows = [(f"A good text of number {k}. It has more.", 1) for k in range(60)] + [(f"BAD!! {k} BAD!! BAD!!", 0) for k in range(20)]
+    ranker = quality.PairwiseRanker().fit(rows, {1: 60, 0: 20})
+    assert abs(ranker.quantile - 0.25) < 1e-9 and ranker.low < ranker.threshold < ranker.high
+    assert ranker.low < ranker.within(-99) < ranker.within((ranker.low + ranker.high) / 2) < ranker.within(99) < ranker.high
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, ranker).collect()}
+    assert all((got[k] >= 0.3) == y for k, (_, y) in enumerate(rows)) and np.isfinite(list(got.values())).all()
+
+
+def test_sample_is_bounded_by_documents(spark):
+    from weft.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(900)] + [(k, "other") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(5, 7), (None, 1)], "doc_id long, toxic int")
+    rows, counts = labelled_sample(docs, labels, "toxic", 1, 2, {0: 8, 1: 30})
+    assert 7 <= len([y for _, y in rows if not y]) <= 8 and sum(y for _, y in rows) == 20 and counts == {0: 20, 1: 20}

@@ -2,16 +2,23 @@
 
 A document of label 1 is preferred to one of label 0. Each such pair's probability is a logistic
 function of the difference of two document scores, which are linear in features of the text's form;
-the weights minimise the logistic loss over pairs. A quantile of the training documents' scores, the
-one that parts the labels with the fewest errors at the labels' own frequencies, is the threshold:
-the score given is a logistic function that takes `at` there.
-
-Null and empty texts have features of zero words and are scored like any other. Without labels of
-both kinds nothing can be learned: every score is 0 if all labels are 0, else 1.
+the weights minimise the logistic loss over all pairs of a training document of each label (Newton's steps; sums over pairs
+are products of matrices). The training documents are a sample that the caller bounds.
+
+The threshold is a score quantile. Of cuts between training documents' scores, those with the fewest errors (at the labels'
+own frequencies) give a range of thresholds, and the quantile that the labels ask for: the share of documents below. The
+threshold is that quantile of the scores of all documents, held within the range, since labels are a sample
+of the documents and their share is known only about. The score given is a logistic function that takes `at` there.
+
+Defined results: null and empty texts have features of zero words and are scored like any other. Rows that repeat
+give repeated results, null ids stay null, an empty table gives an empty result; of cuts with equally few
+errors all are in the range. Without labels of both kinds nothing can be learned: every score is 0 if all
+labels are 0, else 1. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from operator import eq
 
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import Scratch, map_arrow
 
 KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>@^~=+\\", b"|", b"!", b"?", b".", b",", b";:'\"()-", b"\n")
 _columns = np.zeros((256, len(KINDS)))
@@ -39,13 +46,20 @@ def text_features(text: bytes) -> np.ndarray:
     return np.concatenate([form, np.log(shares + 1e-3), [np.sqrt(twice), max(0, shares[0] - 0.3), np.sqrt(shares[2])]])
 
 
+def pair_steps(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the sum of log sigmoid((good_i - bad_j) . w) over all pairs."""
+    p = 1 / (1 + np.exp(np.clip(np.subtract.outer(good @ w, bad @ w), -30, 30)))
+    q = p * (1 - p)
+    cross = good.T @ q @ bad
+    return good.T @ p.sum(1) - bad.T @ p.sum(0), (good.T * q.sum(1)) @ good + (bad.T * q.sum(0)) @ bad - cross - cross.T
+
+
 @dataclass
 class PairwiseRanker:
     """Scores by Bradley-Terry weights; `at` is the score given at the threshold."""
 
     at: float = 0.3
-    ridge: float = 1.0
-    pairs_each: int = 12
+    ridge: float = 1.0  # for each document of the larger class
 
     def fit(self, rows: list[tuple[str, int]], counts: dict[int, int]) -> PairwiseRanker:
         y = np.array([label for _, label in rows])
@@ -56,14 +70,10 @@ class PairwiseRanker:
         x = np.array([text_features(t.encode()) for t, _ in rows]).reshape(len(rows), -1)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         x = (x - self.mean) / self.scale
-        most, least = max(len(good), len(bad)), min(len(good), len(bad))
-        i = np.tile(np.arange(most), self.pairs_each)
-        j = (i + np.repeat(np.arange(self.pairs_each), most) * 7919) % least
-        d = x[good[i]] - x[bad[j]] if len(good) >= len(bad) else x[good[j]] - x[bad[i]]
-        w = np.zeros(x.shape[1])
+        ridge, w = self.ridge * min(len(good), len(bad)), np.zeros(x.shape[1])
         for _ in range(40):
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + self.ridge * self.pairs_each * np.eye(len(w)), d.T @ p - self.ridge * self.pairs_each * w)
+            gradient, curvature = pair_steps(x[good], x[bad], w)
+            step = np.linalg.solve(curvature + ridge * np.eye(len(w)), gradient - ridge * w)
             w = w + step
             if np.abs(step).max() < 1e-7:
                 break
@@ -73,25 +83,37 @@ class PairwiseRanker:
         order = np.argsort(s, kind="stable")
         below = np.concatenate([[0], np.cumsum(np.where(y[order] == 1, share[order], -share[order]))])  # errors, less those of a threshold below all
         best = np.flatnonzero(below <= below.min() + 1e-12)
+        ends = np.concatenate([[s[order[0]] - 1], s[order], [s[order[-1]] + 1]])  # cut k lies between ends k and k + 1
         k = int(best[len(best) // 2])
         self.quantile = float(share[order][:k].sum())
-        self.threshold = float(s[order[0]] - 1 if k == 0 else s[order[-1]] + 1 if k == len(s) else (s[order[k - 1]] + s[order[k]]) / 2)
+        self.low, self.high = float(ends[best[0]]), float(ends[best[-1] + 1])
+        self.threshold = float(ends[k] + ends[k + 1]) / 2
         return self
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def raw(self, texts: list[bytes]) -> np.ndarray:
+        """Scores before the threshold is known."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = (np.array([text_features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights - self.threshold + np.log(self.at / (1 - self.at)), -30, 30)))
+        return (np.array([text_features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.scale @ self.weights
+
+    def within(self, quantile: float | None) -> float:
+        """The threshold, from the quantile of all documents' scores. A tenth of the range at either end stays clear of the training documents."""
+        clear = (self.high - self.low) / 10
+        return self.threshold if quantile is None else min(max(quantile, self.low + clear), self.high - clear)
 
 
 def score_quality(documents: DataFrame, ranker: PairwiseRanker) -> DataFrame:
-    """doc_id and score of each document."""
+    """doc_id and score of each document. The scores are written once, as their quantile comes before the result."""
 
     def make():
         def each(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.scores([x or b"" for x in batch.column(1).to_pylist()]))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.raw([x or b"" for x in batch.column(1).to_pylist()]))], names=["doc_id", "raw"])
 
         return each
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), make, "doc_id long, score double")
+    found = map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), make, "doc_id long, raw double")
+    if ranker.constant is not None:
+        return found.withColumnRenamed("raw", "score")
+    found = Scratch(documents.sparkSession).cut(found)
+    cut = ranker.within(found.agg(F.percentile_approx("raw", ranker.quantile, 100_000)).first()[0])
+    return found.select("doc_id", (1 / (1 + F.exp(-(F.col("raw") - cut + math.log(ranker.at / (1 - ranker.at)))))).alias("score"))

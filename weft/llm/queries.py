@@ -35,7 +35,8 @@ def toxic_field(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxic
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(documents, toxic_field(spark, documents, sf_dir))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_toxic_words"))
+    offsets = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_toxic_words"), offsets.alias("toxic_offsets"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

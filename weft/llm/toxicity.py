@@ -4,15 +4,19 @@ Labels mark documents; a word of a toxic training document counts as toxic where
 (the word, or its first letters) stands in so many more toxic than clean training documents that the
 likelihood-ratio statistic passes `evidence`. On these labelled words the field is trained: two tags,
 weights of a word's own features, of its neighbours, and of the moves between tags, by gradient steps
-on the conditional likelihood. A chain is a sentence or line, cut after `chain` words.
+on the conditional likelihood. A chain is a sentence or line, whole, however long.
+
+The field is fitted on a sample of labelled documents that the caller bounds. Of their chains it takes all that hold a
+toxic word and, of the others, `clean_each` for each such chain and `clean_least` more, those with the smallest hashes.
 
 Scoring runs forward and backward over each chain for every word's marginal. A document's score is a
 logistic function, fitted on the training documents, of the sum and the largest of its marginals;
-words whose marginal is at least one half give the offending offsets (code points).
+words whose marginal is at least one half give the offending offsets (code points, the end exclusive).
 
-Null and empty texts have no words and get the score of a sum of 0. Repeated rows give repeated
-results. Without labels of both kinds nothing can be learned: every score is 1 if all labels are 1,
-else 0.
+Defined results: null and empty texts have no words and get the score of a sum of 0. Rows that repeat give repeated
+results, null ids stay null, an empty table gives an empty result. Documents of equal score are treated alike; of cuts with
+equally few errors the middle one is taken. Without labels of both kinds nothing can be learned: every score is 1
+if all labels are 1, else 0. Columns other than id and text aren't read; without_toxic() keeps them.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,27 @@ STOPS = frozenset(".!?\n")
 
 
 def features(word: str) -> list[str]:
+    """Of a word in lower case."""
     return ["=" + word, *(f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) > n), "$" + word[-3:]]
 
 
+def blocks(sizes: np.ndarray, places: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of ascending sizes that are alike, of at most so many places when all are as long as the longest."""
+    out, low = [], 0
+    while low < len(sizes):
+        alike = int(np.searchsorted(sizes, sizes[low] * 5 // 4 + 2, side="right"))
+        high = min(alike, low + max(1, places // max(1, int(sizes[alike - 1]))))
+        out.append((low, high))
+        low = high
+    return out
+
+
 class ToxicField:
     """The trained field; scores texts. Weights are held by hashed feature."""
 
-    def __init__(self, bits: int = 18, chain: int = 64, evidence: float = 20.0, steps: int = 30, ridge: float = 0.15, at: float = 0.7, most_words: int = 400_000):
-        self.bits, self.chain, self.evidence, self.steps, self.ridge, self.at, self.most_words = bits, chain, evidence, steps, ridge, at, most_words
+    def __init__(self, bits: int = 18, evidence: float = 20.0, steps: int = 30, ridge: float = 0.15, at: float = 0.7, clean_each: int = 3, clean_least: int = 500, most_words: int = 300_000):
+        self.bits, self.evidence, self.steps, self.ridge, self.at = bits, evidence, steps, ridge, at
+        self.clean_each, self.clean_least, self.most_words = clean_each, clean_least, most_words
         self.size = 1 << bits
         self.own, self.near = np.zeros(self.size), np.zeros((2, self.size))
         self.bias, self.moves = -4.0, np.zeros(3)  # clean to toxic, toxic to clean, toxic to toxic; clean to clean is 0
@@ -70,15 +88,17 @@ class ToxicField:
 
     def _number(self, word: str) -> int:
         """The word's place in `parts`: what it adds to itself, to the next word and to the one before."""
-        own = sum(self.own[self._hash(f)] for f in features(word))
-        h = self._hash("=" + word)
+        lower = word.lower()
+        own = sum(self.own[self._hash(f)] for f in features(lower))
+        h = self._hash("=" + lower)
         k = self.known[word] = len(self.known)
         if k == len(self.parts):
             self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
         self.parts[k] = own, self.near[0, h], self.near[1, h]
         return k
 
-    def _chains(self, words: list[str]) -> list[tuple[int, int]]:
+    @staticmethod
+    def _chains(words: list[str]) -> list[tuple[int, int]]:
         """(start, end) of the chains among a text's tokens."""
         out, start = [], 0
         for at, word in enumerate(words):
@@ -86,15 +106,18 @@ class ToxicField:
                 if at > start:
                     out.append((start, at))
                 start = at + 1
-            elif at - start == self.chain:
-                out.append((start, at))
-                start = at
         if len(words) > start:
             out.append((start, len(words)))
         return out
 
     def _sweep(self, odds: np.ndarray, mask: np.ndarray):
         """Forward and backward log odds of chains, one to a row, padded on the right."""
+        if len(odds) <= 8:
+            rows = [self._sweep_one(row[:size].tolist()) for row, size in zip(odds, mask.sum(axis=1))]
+            out = np.zeros((2, *odds.shape))
+            for k, (ahead, back) in enumerate(rows):
+                out[0, k, : len(ahead)], out[1, k, : len(back)] = ahead, back
+            return out[0], out[1]
         a01, a10, a11 = self.moves
         n = odds.shape[1]
         ahead, back = np.empty_like(odds), np.zeros_like(odds)
@@ -107,6 +130,21 @@ class ToxicField:
             back[:, t] = np.where(mask[:, t + 1], np.logaddexp(a10, a11 + x) - np.logaddexp(0, a01 + x), 0)
         return ahead, back
 
+    def _sweep_one(self, odds: list[float]) -> tuple[list[float], list[float]]:
+        """The same of one chain, for few and long ones."""
+        a01, a10, a11 = map(float, self.moves)
+
+        def add(a: float, b: float) -> float:
+            return max(a, b) + log1p(exp(-abs(a - b)))
+
+        ahead, back = odds[:1], [0.0]
+        for x in odds[1:]:
+            ahead.append(x + add(a01, a11 + ahead[-1]) - add(0.0, a10 + ahead[-1]))
+        for x in reversed(odds[1:]):
+            z = x + back[-1]
+            back.append(add(a10, a11 + z) - add(0.0, a01 + z))
+        return ahead, back[::-1]
+
     def fit(self, rows: list[tuple[str, int]], counts: dict[int, int]) -> ToxicField:
         toxic, clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
         self.constant = None if toxic and clean else 1.0 if toxic else 0.0
@@ -114,7 +152,7 @@ class ToxicField:
             return self
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for text, y in sorted(rows, key=lambda r: -r[1]):  # of clean documents only what toxic ones have, too
-            own = {f for w in {*TOKEN.findall(text.lower())} - STOPS for f in features(w)[:-1]}
+            own = {f for w in {w.lower() for w in TOKEN.findall(text)} - STOPS for f in features(w)[:-1]}
             seen[y].update(own if y else own & seen[1].keys())
         share, marks = toxic / (toxic + clean), set()
         for f, a in seen[1].items():
@@ -124,19 +162,25 @@ class ToxicField:
                 g = 2 * (a * np.log(rate / share) + (b * np.log((1 - rate) / (1 - share)) if b else 0))
                 if g >= self.evidence:
                     marks.add(f)
-        chains, tags, spare = [], [], []
-        for text, y in rows:
-            words = TOKEN.findall(text.lower())
-            for a, b in self._chains(words):
-                tag = [int(y and any(f in marks for f in features(w)[:-1])) for w in words[a:b]] if y else [0] * (b - a)
-                if any(tag):
-                    chains.append(words[a:b])
-                    tags.append(tag)
-                elif len(spare) < 40_000 and zlib.crc32(" ".join(words[a:b]).encode()) % 4 == 0:
-                    spare.append(words[a:b])
         del seen
-        rest = spare[: 3 * len(chains) + 500]
-        self._train(chains + rest, tags + [[0] * len(c) for c in rest])
+        marked: list[tuple[int, int, int]] = []  # (document, start, end) of chains with a toxic word
+        spare: list[tuple[int, int, int, int]] = []  # (hash, document, start, end) of others
+        for k, (text, y) in enumerate(rows):
+            words = [w.lower() for w in TOKEN.findall(text)]
+            for a, b in self._chains(words):
+                if y and any(f in marks for w in words[a:b] for f in features(w)[:-1]):
+                    marked.append((k, a, b))
+                else:
+                    spare.append((zlib.crc32(" ".join(words[a:b]).encode()), k, a, b))
+        wanted = self.clean_each * len(marked) + self.clean_least
+        spare = [x[1:] for x in sorted(spare)[:wanted]]
+        chains, tags, of, words = [], [], -1, []
+        for k, a, b in [*marked, *sorted(spare)]:
+            if k != of:
+                of, words = k, [w.lower() for w in TOKEN.findall(rows[k][0])]
+            chains.append(words[a:b])
+            tags.append([int(rows[k][1] and any(f in marks for f in features(w)[:-1])) for w in words[a:b]])
+        self._train(chains, tags)
         self._clear()
         sums = np.concatenate([self._sums([text for text, _ in rows[k : k + 200]])[0] for k in range(0, len(rows), 200)])
         y = np.array([y for _, y in rows], float)
@@ -152,39 +196,56 @@ class ToxicField:
             self.curve[0] += np.log(self.at / (1 - self.at)) - (logit[order[k - 1]] + logit[order[k]]) / 2
         return self
 
-    def _train(self, chains: list[list[str]], tags: list[list[int]]) -> None:
-        n, m = len(chains), max(map(len, chains), default=1)
-        mask = np.zeros((n, m), bool)
-        y = np.zeros((n, m), int)
-        place, feature, word = array("q"), array("q"), np.full((n, m), -1)
+    def _packed(self, chains: list[list[str]], tags: list[list[int]]):
+        """Chains of similar length in blocks of at most a million places: (mask, tags, places, features, words)."""
         cache: dict[str, list[int]] = {}
-        for i, (chain, tag) in enumerate(zip(chains, tags)):
-            mask[i, : len(chain)], y[i, : len(chain)] = True, tag
-            for t, w in enumerate(chain):
-                ids = cache.get(w) or cache.setdefault(w, [self._hash(f) for f in features(w)])
-                word[i, t] = ids[0]
-                feature.extend(ids)
-                place.extend([i * m + t] * len(ids))
-        place, feature = np.frombuffer(place, np.int64), np.frombuffer(feature, np.int64)
-        pairs = mask[:, 1:]
-        before, after = word[:, :-1][pairs], word[:, 1:][pairs]
-        size, speed, first, second = self.size, 0.3, None, None
-        theta = np.concatenate([self.own, *self.near, [self.bias], self.moves])
-        for step in range(1, self.steps + 1):
-            own, n0, n1, self.bias, self.moves = theta[:size], theta[size : 2 * size], theta[2 * size : 3 * size], theta[-4], theta[-3:]
-            odds = np.bincount(place, own[feature], n * m).reshape(n, m) + self.bias
-            add = np.zeros((n, m))
-            add[:, 1:][pairs] += n0[before]
-            add[:, :-1][pairs] += n1[after]
-            odds = odds + add
+        order = sorted(range(len(chains)), key=lambda i: (len(chains[i]), i))
+        out = []
+        for low, high in blocks(np.array([len(chains[i]) for i in order], np.int64), 1_000_000):
+            n, m = high - low, len(chains[order[high - 1]])
+            mask, y, word = np.zeros((n, m), bool), np.zeros((n, m), np.int8), np.full((n, m), -1)
+            place, feature = array("q"), array("q")
+            for i, k in enumerate(order[low:high]):
+                chain = chains[k]
+                mask[i, : len(chain)], y[i, : len(chain)] = True, tags[k]
+                for t, w in enumerate(chain):
+                    ids = cache.get(w) or cache.setdefault(w, [self._hash(f) for f in features(w)])
+                    word[i, t] = ids[0]
+                    feature.extend(ids)
+                    place.extend([i * m + t] * len(ids))
+            out.append((mask, y, np.frombuffer(place, np.int64), np.frombuffer(feature, np.int64), word))
+        return out
+
+    def gradient(self, theta: np.ndarray, packed) -> np.ndarray:
+        """Of the conditional log likelihood of the tags: weights of features, of words before and after, bias and moves."""
+        size = self.size
+        own, n0, n1, bias, self.moves = theta[:size], theta[size : 2 * size], theta[2 * size : 3 * size], theta[-4], theta[-3:]
+        g = np.zeros(len(theta))
+        for mask, y, place, feature, word in packed:
+            n, m = mask.shape
+            pairs = mask[:, 1:]
+            before, after = word[:, :-1][pairs], word[:, 1:][pairs]
+            odds = np.bincount(place, own[feature], n * m).reshape(n, m) + bias
+            odds[:, 1:][pairs] += n0[before]
+            odds[:, :-1][pairs] += n1[after]
             ahead, back = self._sweep(odds, mask)
-            p = 1 / (1 + np.exp(-np.clip(ahead + back, -40, 40)))
-            d = np.where(mask, y - p, 0)
+            d = np.where(mask, y - 1 / (1 + np.exp(-np.clip(ahead + back, -40, 40))), 0)
             x, z = ahead[:, :-1], odds[:, 1:] + back[:, 1:]
             logs = np.stack([np.zeros_like(x), z + self.moves[0], x + self.moves[1], x + z + self.moves[2]])
             joint = np.exp(logs - np.logaddexp.reduce(logs, 0))
-            move = np.array([((y[:, :-1] == s) & (y[:, 1:] == e))[pairs].sum() - joint[2 * s + e][pairs].sum() for s, e in ((0, 1), (1, 0), (1, 1))])
-            g = np.concatenate([np.bincount(feature, d.ravel()[place], size), np.bincount(before, d[:, 1:][pairs], size), np.bincount(after, d[:, :-1][pairs], size), [d.sum()], move]) - self.ridge * theta
+            move = [((y[:, :-1] == s) & (y[:, 1:] == e))[pairs].sum() - joint[2 * s + e][pairs].sum() for s, e in ((0, 1), (1, 0), (1, 1))]
+            g[:size] += np.bincount(feature, d.ravel()[place], size)
+            g[size : 2 * size] += np.bincount(before, d[:, 1:][pairs], size)
+            g[2 * size : 3 * size] += np.bincount(after, d[:, :-1][pairs], size)
+            g[-4] += d.sum()
+            g[-3:] += move
+        return g
+
+    def _train(self, chains: list[list[str]], tags: list[list[int]]) -> None:
+        packed, size, speed, first, second = self._packed(chains, tags), self.size, 0.3, None, None
+        theta = np.concatenate([self.own, *self.near, [self.bias], self.moves])
+        for step in range(1, self.steps + 1):
+            g = self.gradient(theta, packed) - self.ridge * theta
             first = 0.1 * g if first is None else 0.9 * first + 0.1 * g
             second = 0.01 * g * g if second is None else 0.99 * second + 0.01 * g * g
             theta = theta + speed * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8) * (g != 0)
@@ -196,7 +257,7 @@ class ToxicField:
             self._clear()
         known, numbers, ends, chains = self.known, [], [0], []
         for text in texts:
-            words = TOKEN.findall(text.lower())
+            words = TOKEN.findall(text)
             base = ends[-1]
             chains += [(base + a, base + b) for a, b in self._chains(words)]
             got = list(map(known.get, words))
@@ -210,8 +271,9 @@ class ToxicField:
         parts, numbers = self.parts, np.array(numbers)
         spans = np.array(chains)
         sizes = spans[:, 1] - spans[:, 0]
-        for low in range(0, len(order := np.argsort(sizes, kind="stable")), 20_000):
-            some = order[low : low + 20_000]
+        order = np.argsort(sizes, kind="stable")
+        for low, high in blocks(sizes[order], 500_000):
+            some = order[low:high]
             m = int(sizes[some].max())
             at = spans[some, 0][:, None] + np.arange(m)
             mask = np.arange(m) < sizes[some][:, None]
@@ -241,8 +303,8 @@ class ToxicField:
         return 1 / (1 + np.exp(-self._shape(sums) @ self.curve)), p, ends
 
     def spans(self, text: str, p: np.ndarray) -> list[tuple[int, int]]:
-        """Offsets of words that are toxic more likely than not, in the lower-cased text."""
-        return [m.span() for m, x in zip(TOKEN.finditer(text.lower()), p) if x >= 0.5]
+        """Offsets of words that are toxic more likely than not."""
+        return [m.span() for m, x in zip(TOKEN.finditer(text), p) if x >= 0.5]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -259,7 +321,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
 
 
 def score_toxicity(documents: DataFrame, field: ToxicField) -> DataFrame:
-    """doc_id, score, number of toxic words and their offsets."""
+    """doc_id, score, and the offsets of toxic words."""
 
     def make():
         def each(batch):
@@ -268,7 +330,8 @@ def score_toxicity(documents: DataFrame, field: ToxicField) -> DataFrame:
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 score, p, ends = field.scores(texts)
                 toxic = [field.spans(t, p[a:b]) if (p[a:b] >= 0.5).any() else [] for t, a, b in zip(texts, ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array([[{"start": a, "end": b} for a, b in x] for x in toxic], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "score", "spans"])
+                spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in toxic], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), spans], names=["doc_id", "score", "spans"])
 
         return each
 
