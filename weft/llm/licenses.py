@@ -2,19 +2,23 @@
 
 Every template (a licence notice as words) is a string of one generalised suffix automaton. A text's
 words are streamed through it: after each word the automaton's state and length give the longest run
-of words, ending there, that stands in any template. Maximal runs of at least `min_match` words are
-chained, template by template, in the order of both text and template and with bounded gaps; a chain
-that covers at least `min_cover` of its template's words is a span and gives the template's label.
+of words, ending there, that stands in any template, and its suffix links the longest in each other template. Runs of
+at least `min_match` words that can't be continued in their template are chained, template by template, in the order of
+both text and template and with bounded gaps; a chain that covers at least `min_cover` of its template's words is a span
+and gives the template's label. Of chains of one label that overlap the one that covers most words is taken.
 
 Base phrases are templates too: one stands wherever a state that has the phrase as a suffix is
 reached with at least its length.
 
-Null or empty texts have no words, no spans and score 0. Repeated rows give repeated results. Null
-ids stay null. Columns of the input other than the id and the text are not read.
+Defined results: null or empty texts have no words, no spans and score 0. Rows that repeat give repeated results, null
+ids stay null, an empty table gives an empty result; of chains that cover equally much the first one counts. Columns of
+the input other than the id and the text are not read. Work grows in proportion to the text.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,63 +122,88 @@ class LicenseIndex:
         for state in sorted(range(len(self.ends)), key=lambda s: self.automaton.length[s]):
             if state and self.automaton.link[state] > 0:
                 self.ends[state] = tuple({*self.ends[state], *self.ends[self.automaton.link[state]]})
-        self.n_phrases = len(phrases)
+        # of each state the templates that have its strings, by the length up to which they have them, and where these end
+        self.longest: list[list[tuple[int, int, tuple[int, ...]]]] = [[]]
+        for state in range(1, len(self.automaton.length)):
+            own, met, walk = [], set(), state
+            while walk > 0:
+                by: dict[int, list[int]] = {}
+                for template, to in sorted(self.automaton.places[walk]):
+                    if template >= len(phrases) and template not in met:
+                        by.setdefault(template, []).append(to)
+                own += [(t, self.automaton.length[walk], tuple(to)) for t, to in by.items()]
+                met |= by.keys()
+                walk = self.automaton.link[walk]
+            self.longest.append(own)
 
     def scan(self, text: bytes):
         """(words, base places, spans, score) of a text in UTF-8."""
         words = ASCII_WORD.findall(text.lower())
         moves, link, longest, ends = self.automaton.next, self.automaton.link, self.automaton.length, self.ends
         base: list[tuple[str, int]] = []
-        runs: list[tuple[int, int, int]] = []  # (end in the text, length, state) of maximal runs
+        segments: dict[int, list[tuple[int, int, int, int]]] = {}
+        open_runs: dict[int, tuple[int, int, tuple[int, ...]]] = {}  # of each template: length, end in the text, ends in the template
         state = length = 0
         for at, symbol in enumerate(map(self.vocabulary.get, words)):
             if symbol is None:
-                if length >= self.min_match:
-                    runs.append((at, length, state))
                 state = length = 0
                 continue
-            if symbol not in moves[state]:
-                if length >= self.min_match:
-                    runs.append((at, length, state))
-                while state and symbol not in moves[state]:
-                    state = link[state]
-                    length = longest[state]
+            while state and symbol not in moves[state]:
+                state = link[state]
+                length = longest[state]
             if symbol in moves[state]:
                 state = moves[state][symbol]
                 length += 1
                 for phrase, size in ends[state]:
                     if size <= length:
                         base.append((self.labels[phrase], at + 1 - size))
-        if length >= self.min_match:
-            runs.append((len(words), length, state))
-        spans, score = self._chains(runs) if runs else ([], 0.0)
+                if length >= self.min_match:
+                    self._extend(open_runs, segments, at + 1, state, length)
+        for template, run in open_runs.items():
+            self._close(segments, template, *run)
+        spans, score = self._chains(segments) if segments else ([], 0.0)
         return len(words), base, spans, score
 
-    def _chains(self, runs):
+    def _extend(self, open_runs, segments, end: int, state: int, length: int) -> None:
+        """Take in the longest run of each template that ends at a word; what it doesn't continue is closed."""
+        for template, size, places in self.longest[state]:
+            size = min(size, length)
+            if size < self.min_match:
+                break
+            before = open_runs.get(template)
+            if before and not (before[1] == end - 1 and before[0] == size - 1):
+                self._close(segments, template, *before)
+            open_runs[template] = size, end, places
+
+    @staticmethod
+    def _close(segments, template: int, size: int, end: int, places: tuple[int, ...]) -> None:
+        segments.setdefault(template, []).extend((end - size, end, to - size, to) for to in places)
+
+    def _chains(self, by_template):
         """Chain runs for each template; the best chain ending at each run covers most template words."""
-        by_template: dict[int, list[tuple[int, int, int, int]]] = {}
-        for end, length, state in runs:
-            for template, to in self.automaton.places[state]:
-                if template >= self.n_phrases:
-                    by_template.setdefault(template, []).append((end - length, end, to - length, to))
-        spans, score = [], 0.0
+        found, score = [], 0.0
         for template, segments in by_template.items():
             segments.sort()
             size, best = self.sizes[template], []  # (covered words, start, end in the text, end in the template)
             for start, end, low, high in segments:
                 covered, begun = end - start, start
                 for words, first, before, reached in reversed(best):
-                    if before + size < start:
+                    if before + 2 * size + self.max_gap < start:
                         break
                     if before <= start <= before + self.max_gap and reached <= low and words + end - start > covered:
                         covered, begun = words + end - start, first
                 best.append((covered, begun, end, high))
-            reach = -1
-            for covered, begun, end, _ in sorted(best, key=lambda b: (-b[0], b[1])):
-                score = max(score, min(1.0, covered / size))
-                if covered >= self.min_cover * size and not any(begun < e and b < end and label == self.labels[template] for label, b, e, _ in spans):
-                    spans.append((self.labels[template], begun, end, min(1.0, covered / size)))
-                reach = max(reach, end)
+            for covered, begun, end, _ in best:
+                score = max(score, covered / size)
+                if covered >= self.min_cover * size:
+                    found.append((-covered, begun, end, template))
+        spans, taken = [], {}
+        for covered, begun, end, template in sorted(found):
+            own = taken.setdefault(self.labels[template], [])  # disjoint spans of the label, in order
+            k = bisect_left(own, (begun, end))
+            if (k == 0 or own[k - 1][1] <= begun) and (k == len(own) or end <= own[k][0]):
+                own.insert(k, (begun, end))
+                spans.append((self.labels[template], begun, end, -covered / self.sizes[template]))
         return sorted(spans, key=lambda s: (s[1], s[2], s[0])), score
 
 

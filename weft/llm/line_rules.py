@@ -8,7 +8,9 @@ characters in lines is rejected. Beside that stand base counts of the whole text
 All work is done in each row by array functions: no shuffle, no Python. Windows of five words are
 compared by a 64-bit hash of their words' 64-bit hashes.
 
-Null texts are as empty: no words, so they fail. Repeated rows give repeated results.
+Defined results: null texts are as empty: no words, so they fail, and their cleaned text is empty. Rows that repeat give
+repeated results, null ids stay null, an empty table gives an empty result; a document with exactly `least` of its
+characters left is kept. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def line_passes(line: Column) -> Column:
 
 
 def line_first_cleaning(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """The columns of op5, and the share of characters in lines that stay."""
+    """The cleaned text of each document, its verdict, counts, and the share of characters in lines that stay."""
     text = F.coalesce("text", F.lit(""))
     split = documents.select(
         F.col("doc_id").cast("long"),
@@ -43,9 +45,10 @@ def line_first_cleaning(documents: DataFrame, least: float = 0.5) -> DataFrame:
         F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        cleaned_text(text).alias("cleaned_text"),
     )
     counted = split.select(
-        "doc_id", "word_chars", "n_symbols",
+        "doc_id", "word_chars", "n_symbols", "cleaned_text",
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
@@ -63,7 +66,12 @@ def line_first_cleaning(documents: DataFrame, least: float = 0.5) -> DataFrame:
     out = found.withColumn("n_repeat_words", covered)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     share = F.when(F.col("all_chars") > 0, F.col("line_chars") / F.col("all_chars")).otherwise(F.lit(0.0))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (share >= least)).alias("kept"), F.round(share, 6).alias("line_share"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (share >= least)).alias("kept"), F.round(share, 6).alias("line_share"), "cleaned_text")
+
+
+def rule_digest(cleaned: DataFrame) -> DataFrame:
+    """The columns of op5 from what line_first_cleaning() returns."""
+    return cleaned.drop("cleaned_text")
 
 
 def cleaned_text(text: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, line_rules, minhash, oracles, quality, secrets, sentencepiece_bpe, sharding, toxicity, url_filters
-from .common import table
+from .common import small_batches, table
 from .labelled import held_out, labelled_sample
 
 #: Rows of each label that a classifier is fitted on, at most.
@@ -45,7 +47,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.line_first_cleaning(table(spark, sf_dir, "documents"))
+    return line_rules.rule_digest(line_rules.line_first_cleaning(table(spark, sf_dir, "documents")))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +74,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def _bounded(query):
+    """The query, in a session whose batches of whole texts are small."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_sentencepiece, op3_toxicity, op4_sharding, op5_line_rules, op6_quality, op7_url_filters, op8_minhash, op9_decontaminate, op10_secrets)}
+    found = (op1_licenses, op2_sentencepiece, op3_toxicity, op4_sharding, op5_line_rules, op6_quality, op7_url_filters, op8_minhash, op9_decontaminate, op10_secrets)
+    return {f.__name__: _bounded(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

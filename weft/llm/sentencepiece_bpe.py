@@ -10,8 +10,12 @@ prefix; the ids are read off backwards. Characters outside the vocabulary become
 pieces and part the text. No piece holds a space mark after another character (checked when the model
 is read), so a text is cut there, and equal words are encoded once per task.
 
-Null or empty texts have no pieces (with an end id: just that one). The model's path is a parameter;
-each task reads the file that the driver has read, sent with the code.
+The model's path is a parameter; each task reads the file that the driver has read, sent with the code. Models
+that change texts before they are cut (a normaliser, dropped spaces) are refused.
+
+Defined results: null or empty texts have no pieces (with an end id: just that one) and decode to an empty text. Rows that
+repeat give repeated results, null ids stay null, an empty table gives an empty result; of equally good merges the
+leftmost comes first, as in the library. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ from .common import map_arrow
 
 MARK = "▁"
 
+# Characters that the usual normalisers replace, and what by.
+NORMALISED = (("\uff21", "A"), ("\ufb01", "fi"), ("e\u0301", "\u00e9"), ("\u2460", "1"), ("A", "a"))
+
 
 class MergeModel:
     """The pieces of a merge-type model, and encoding by prefix table."""
@@ -54,6 +61,8 @@ class MergeModel:
                 ids[piece] = i
         if any(sp.is_unused(i) for i in range(n)) or any(MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("a model with unused pieces, or with a space mark inside a piece, isn't provided for")
+        if any(sp.encode(x) == sp.encode(y) for x, y in NORMALISED):
+            raise ValueError("a model with a normaliser isn't provided for")
         if any(x != i for x, i in zip(sp.encode("a b"), sp.encode("a  b"))) and sp.encode("a  b") == sp.encode("a b"):
             raise ValueError("a model that drops spaces isn't provided for")
         self.ids, self.score = ids, {p: sp.get_score(i) for p, i in ids.items()}
