@@ -14,9 +14,9 @@ How links are found without pairing whole groups:
 3. in buckets that still hold several components, a hub of the largest, drawn by hash, is compared with
    one class of each other component, and again while many pairs stand open and each turn closes a tenth
    or more;
-4. the classes of buckets that are open then are joined exactly: a link needs a common element among each one's
-   rarest (prefix filter: of n elements the n - ceil(0.8 n) + 1 that the fewest of these classes have), so only classes
-   of different components that share one are compared. Each comparison is of full sets, and no test is by chance;
+4. then all pairs of different components that stand open in a bucket are compared, but those that can't be linked: by the
+   number of their elements that stand in other sets of open buckets, or by the bits in which bitmaps of the sets' parities
+   differ, as that many elements at least are in one of the two sets only. Both bounds are exact: no test is by chance;
 5. components of links are found by least labels with shortcuts (a few links in one task), later ones among
    components instead of classes. Each turn's result is a written table.
 Keys that a great part of all rows have (a class of exact copies, a hub, a bucket, an element) are dealt to many tasks.
@@ -35,7 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components_in_one_task, hot_keys, map_arrow, salted_join, small_enough
@@ -164,29 +164,45 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def open_pairs(sets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), a < b, of these nodes that may be linked and belong to different components: all that share an element
-    of their prefixes. Elements are ordered by how many of the nodes have them; a prefix is so long that sets of the similarity
-    asked for can't do without a common element there."""
-    own = sets.join(nodes, "node").select("node", "elements")
-    counts = own.select("node", F.explode("elements").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    counts = scratch.cut(counts)
-    alone = counts.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))  # elements that no other node has
-    prefix = F.size("elements") - F.ceil(F.size("elements") * F.lit(percent) / 100 - 1e-9) + 1
-    live = own.join(alone, "node", "left").withColumn("length", prefix - F.coalesce("alone", F.lit(0))).filter("length > 0")
-    each = live.select("node", "length", F.explode("elements").alias("x"))
-    shared = counts.filter("n > 1").select("x", "n")
-    ranked = salted_join(each, shared, "x", "node", hot_keys(counts, "x", "n")).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "x")))
-    chosen = scratch.cut(ranked.filter("rank <= length").select("node", "x").join(labels, "node"))
-    # of an element's components the largest is met by the others; the others are also held against one another
-    sizes = chosen.groupBy("x", "label").agg(F.count("*").alias("m")).groupBy("x").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("labels"))
-    sizes = scratch.cut(sizes.filter("labels > 1").select("x", F.col("top.label").alias("top"), "m"))
-    hot = hot_keys(sizes, "x", "m")
-    placed = scratch.cut(salted_join(chosen, sizes.select("x", "top"), "x", "node", hot))
-    side = lambda end: placed.select("x", "top", F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-    met = salted_join(side("b"), side("a").filter("label_a <> top").drop("top"), "x", "b", hot)
-    met = met.filter((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+BITMAP = 4096  # bits
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """node and 4096 bits in 64 longs, each the parity of the number of elements that are hashed to it. Bits in which two sets
+    differ are at most as many as elements that only one of them has."""
+
+    def make():
+        def each(batch):
+            out = []
+            for e in batch.column(1).to_pylist():
+                bits = np.bincount((Shingler._mixed(np.array(e, np.int64).view(U)) % U(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+                out.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(out)], names=["node", "bitmap"])
+
+        return each
+
+    return map_arrow(sets.select("node", "elements"), make, "node long, bitmap array<long>")
+
+
+def open_pairs(sets: DataFrame, reps: DataFrame, placed: DataFrame, mixed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in the open buckets `mixed` that can be linked: neither what elements
+    no other of these nodes has, nor in how many bits their bitmaps differ rules it out. Both bounds are exact. A pair is met in
+    the first bucket that it has in common, and members of a bucket's largest component only by others."""
+    some = scratch.cut(salted_join(placed, mixed.select("key", "hub_label"), "key", "node", hot_keys(mixed, "key", "n")))
+    own = sets.join(some.select("node").distinct(), "node").select("node", "elements")
+    alone = own.select("node", F.explode("elements").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sized = own.select("node", F.size("elements").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    of = scratch.cut(sized.join(bitmaps(own), "node").join(reps.select("node", "keys"), "node"))
+    some = scratch.cut(some.join(of, "node"))
+    side = lambda end: some.select("key", *(F.col(c).alias(f"{c}_{end}") for c in some.columns if c != "key"))
+    met = salted_join(side("b"), side("a").filter("label_a <> hub_label_a"), "key", "node_b", hot_keys(some, "key"))
+    only_one = sum((F.bit_count(F.get("bitmap_a", F.lit(k)).bitwiseXOR(F.get("bitmap_b", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
+    both = F.least("shared_a", "shared_b", F.floor((F.col("size_a") + F.col("size_b") - only_one) / 2))  # at most
+    once = (F.col("label_b") == F.col("hub_label_b")) | (F.col("node_a") < F.col("node_b"))
+    first = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key")
+    met = met.filter((F.col("label_a") != F.col("label_b")) & once & (100 * both >= percent * (F.col("size_a") + F.col("size_b") - both)) & first)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, in_one_task: int = 200_000) -> DataFrame:
@@ -258,8 +274,7 @@ def clustered(documents: DataFrame, scratch: Scratch, words: int, percent: int,
         last = sums["pairs"] <= sums["n"] / 4 or (open_before is not None and sums["pairs"] > 0.9 * open_before)
         open_before = sums["pairs"]
         if last:  # hubs close few of the pairs that are left: all of them
-            some = placed.join(mixed.select("key"), "key", "left_semi").select("node").distinct()
-            fresh = open_pairs(sets, labels, scratch.cut(some), percent, scratch)
+            fresh = open_pairs(sets, reps, placed, mixed, percent, scratch)
         else:  # the hub against one of each other component
             met = salted_join(by_label.select("key", "label", "node"), mixed.select("key", "hub", "hub_label"), "key", "node", hot_keys(mixed, "key", "labels"))
             fresh = met.filter("label <> hub_label").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
