@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from weft.catalog import QUERIES
-from weft.operators import ann, data_driven, kernel, misc, proximity, random_models, spanners, spanning, triangulation, visibility
+from weft.operators import ann, data_driven, kernel, misc, paths, proximity, random_models, spanners, spanning, triangulation, visibility
 from weft.plans.pairs import nearest, pairs
 from weft.sources import tables
 
@@ -105,6 +105,37 @@ def test_stretch(points, xy):
     assert len(pairs_) <= 435
 
 
+def test_paths_and_spanners(spark, points, xy):
+    p = points[0]
+    greedy = spanners.greedy_spanner(p, 2.0)
+    assert abs(paths.stretch(p, greedy).first()["stretch"] - 1.936832) < 1e-6
+    assert paths.is_spanner(p, greedy, 2.0).first()[0] and not paths.is_spanner(p, greedy, 1.5).first()[0]
+    assert paths.stretch(p, greedy.limit(3)).first()["stretch"] == float("inf") and abs(paths.stretch(p, proximity.complete(p)).first()["stretch"] - 1) < 1e-9
+    found = {r["node"]: r["dist"] for r in paths.shortest_paths(greedy, p.frame.filter("id = 4")).collect()}
+    d = np.full((30, 30), np.inf)
+    for r in greedy.collect():
+        d[r["src"], r["dst"]] = d[r["dst"], r["src"]] = r["weight"]
+    np.fill_diagonal(d, 0)
+    for k in range(30):
+        d = np.minimum(d, d[:, [k]] + d[[k]])
+    assert set(found) == set(range(30)) and all(abs(found[v] - d[4, v]) < 1e-9 for v in range(30))
+    assert {r["node"] for r in paths.shortest_paths(greedy.limit(0), p.frame.filter("id = 4")).collect()} == {4}
+
+
+def test_forest_by_rounds_and_in_one_task(points):
+    for p in points:
+        all_pairs = proximity.complete(p)
+        assert edges(spanning.minimum_forest(all_pairs, p.keys)) == edges(spanning.minimum_forest(all_pairs, p.keys, in_one_task=0))
+
+
+def test_points_and_drawn_degrees(spark, points):
+    p = points[0]
+    assert tuple(p.counts().first()) == (30, 2) and p.cluster(0).frame.count() == 10 and set(p.plane().columns) == {"id", "x", "y", "label"}
+    drawn = [r["degree"] for r in tables.zipf_degrees(spark, 200).collect()]
+    assert len(drawn) == 200 and sum(drawn) % 2 == 0 and min(drawn) >= 1 and random_models.configuration(tables.zipf_degrees(spark, 200)).count() > 50
+    assert random_models.chung_lu(tables.lognormal_weights(spark, 100)).count() > 50
+
+
 def test_drawn_models(points):
     p, keyed = points
     assert len(edges(random_models.erdos_renyi_gnm(p, 60))) == 60 == len(edges(random_models.erdos_renyi_gnm(keyed, 60)))

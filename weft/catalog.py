@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .operators import ann, data_driven, kernel, misc, proximity, random_models, spanners, spanning, triangulation, visibility
+from .functions.vectors import in_polygon
+from .operators import ann, data_driven, kernel, misc, paths, proximity, random_models, spanners, spanning, triangulation, visibility
 from .registry import get_operator
 from .sources import tables
 
@@ -100,6 +101,29 @@ _MST = f"WITH {PTSL}, {PAIRSL}, {_BOTH}, {_CLOSED} SELECT p.layout, src, dst, {W
 for _name in ("mst_prim", "mst_kruskal", "mst_boruvka", "emst"):
     query(_name, lambda s, d, f=getattr(spanning, _name): f(plane_by_label(s, d)), _MST)
 query("k_mst_overlay", lambda s, d: spanning.k_mst_overlay(plane_by_label(s, d)))
+_NEAR = f"near_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layout, src ORDER BY dist, dst) AS r FROM (SELECT layout, src, dst, dist FROM pairs UNION ALL SELECT layout, dst, src, dist FROM pairs)) WHERE r <= {K}), m0 AS MATERIALIZED (SELECT layout, i, j, min(m) AS m FROM (SELECT layout, src AS i, dst AS j, dist AS m FROM near_ UNION ALL SELECT layout, dst, src, dist FROM near_) GROUP BY layout, i, j)"
+_SUMMED = ", ".join(f"m{k + 1} AS MATERIALIZED (SELECT layout, i, j, min(m) AS m FROM (SELECT * FROM m{k} UNION ALL SELECT a.layout, a.i, b.j, a.m + b.m FROM m{k} a JOIN m{k} b ON a.layout = b.layout AND a.j = b.i AND a.i <> b.j) GROUP BY layout, i, j)" for k in range(6))
+
+
+def _near_edges(spark: SparkSession, folder: str) -> tuple[tables.Points, DataFrame]:
+    points = plane_by_label(spark, folder)
+    return points, proximity.symmetric_knn(points, K)
+
+
+def _paths_from_first(spark: SparkSession, folder: str) -> DataFrame:
+    points, edges = _near_edges(spark, folder)
+    return paths.shortest_paths(edges, points.frame.groupBy("layout").agg(F.min("id").alias("id")), points.keys)
+
+
+query("shortest_paths", _paths_from_first, f"WITH {PTSL}, {PAIRSL}, {_NEAR}, {_SUMMED}, first AS (SELECT layout, min(id) AS id FROM pts GROUP BY layout) SELECT m6.layout, i AS source, j AS node, round(m, 6) AS dist FROM m6 JOIN first f ON f.layout = m6.layout AND f.id = i UNION ALL SELECT layout, id, id, 0.0 FROM first")
+_STRETCH = f"WITH {PTSL}, {PAIRSL}, {_NEAR}, {_SUMMED}, worst AS (SELECT p.layout, greatest(1.0e0, max(coalesce(m / dist, CAST('infinity' AS DOUBLE)))) AS s FROM pairs p LEFT JOIN m6 ON m6.layout = p.layout AND i = src AND j = dst WHERE dist > 1e-15 GROUP BY p.layout)"
+query("stretch", lambda s, d: paths.stretch(*_near_edges(s, d)), f"{_STRETCH} SELECT layout, round(s, 6) AS stretch FROM worst")
+query("is_spanner", lambda s, d: paths.is_spanner(*_near_edges(s, d), 2.0), f"{_STRETCH} SELECT layout, s <= 2.0e0 + 1e-9 AS is_spanner FROM worst")
+POLYGON = [(-0.1, -0.1), (0.12, -0.05), (0.02, 0.01), (0.1, 0.14), (-0.06, 0.1)]
+_RAY = [f"(CASE WHEN (({y1}e0 > y) <> ({y2}e0 > y)) AND x < ({x2}e0 - ({x1}e0)) * (y - ({y1}e0)) / ({y2}e0 - ({y1}e0)) + ({x1}e0) THEN 1 ELSE 0 END)" for (x1, y1), (x2, y2) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]])]
+query("in_polygon", lambda s, d: plane(s, d).plane().select("id", in_polygon(F.col("x"), F.col("y"), POLYGON).alias("inside")), f"WITH {PTS} SELECT id, ({' + '.join(_RAY)}) % 2 = 1 AS inside FROM pts")
+query("layout_counts", lambda s, d: plane(s, d).counts(), "SELECT count(*) AS n_points, count(DISTINCT label) AS n_clusters FROM embeddings")
+query("k_mst_overlay_one", lambda s, d: spanning.k_mst_overlay(plane_by_label(s, d), 1), ORACLES["emst"])
 query("random_spanning", lambda s, d: spanning.random_spanning(plane_by_label(s, d)))
 
 query("erdos_renyi_gnp", lambda s, d: random_models.erdos_renyi_gnp(plane(s, d), 0.15, 142), f"WITH {PTS}, {PAIRS} SELECT src, dst FROM pairs WHERE {U.format(seed=142)} < 0.15e0")

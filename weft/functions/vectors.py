@@ -58,3 +58,13 @@ def crossing(p1: tuple, p2: tuple, p3: tuple, p4: tuple, eps: float = 1e-10) ->
         return ((x > eps) & (y < -eps)) | ((x < -eps) & (y > eps))
 
     return apart(side(p3, p4, p1), side(p3, p4, p2)) & apart(side(p1, p2, p3), side(p1, p2, p4))
+
+
+def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a point lies inside a polygon: a ray to the right crosses its sides an odd number of times."""
+    inside = F.lit(False)
+    for (x1, y1), (x2, y2) in zip(corners, [*corners[1:], corners[0]]):
+        if y1 != y2:
+            crosses = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            inside = inside != crosses
+    return inside

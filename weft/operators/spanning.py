@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,34 @@ from ..sources.tables import Points
 from .proximity import rng
 
 
-def minimum_forest(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _kruskal(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The forest of a number of edges that one task may hold: by weight, then ends, those that close no ring."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, top, kept = pdf.sort_values(["weight", "src", "dst"], kind="stable"), {}, []
+        for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+            while (x := top.setdefault(a, a)) != a:
+                top[a] = a = top[x]
+            while (x := top.setdefault(b, b)) != b:
+                top[b] = b = top[x]
+            kept.append(a != b)
+            top[a] = b
+        return pdf[np.array(kept, bool)]
+
+    group = keys or ("all",)
+    frame = edges if keys else edges.withColumn("all", F.lit(0))
+    return frame.groupBy(*group).applyInPandas(run, frame.schema).select(*keys, "src", "dst", "weight")
+
+
+def minimum_forest(edges: DataFrame, keys: tuple[str, ...] = (), in_one_task: int = 500_000) -> DataFrame:
     """Minimum spanning forest of edges (keys, src, dst, weight) in rounds: each component's lightest
-    outgoing edge (then smallest ends) joins it to another. The number of rounds is at most log2 of the nodes."""
+    outgoing edge (then smallest ends) joins it to another. The number of rounds is at most log2 of the nodes.
+    Up to `in_one_task` edges in all are sorted in a task for each layout, with the same result."""
+    edges = cut(edges.select(*keys, "src", "dst", "weight"))
+    if edges.count() <= in_one_task:
+        return _kruskal(edges, keys)
     node = lambda c: F.concat_ws(":", *keys, F.format_string("%020d", c)) if keys else F.col(c)
-    edges = cut(edges.select(*keys, "src", "dst", "weight", node("src").alias("a"), node("dst").alias("b")))
+    edges = edges.select(*keys, "src", "dst", "weight", node("src").alias("a"), node("dst").alias("b"))
     tree, left = None, edges.withColumns({"ca": F.col("a"), "cb": F.col("b")})
     while left.limit(1).count():
         out = left.select(F.col("ca").alias("c"), F.struct("weight", "a", "b").alias("e")).unionByName(left.select(F.col("cb").alias("c"), F.struct("weight", "a", "b").alias("e")))

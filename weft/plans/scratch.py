@@ -9,20 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder. Where neither is set: a temporary
+    folder if all runs in this process's machine (local master), and the warehouse on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    if not context.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written once and read again."""
-    path = f"{shared_folder(frame.sparkSession)}/weft-{uuid.uuid4().hex}"
+    """The frame, written once and read again. The table is deleted when the application ends."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

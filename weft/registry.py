@@ -24,6 +24,11 @@ MODULES = {
     "data_driven": (data_driven, "correlation partial_correlation glasso mutual_information expansion"),
     "misc": (misc, "kdtree_neighbor balltree_neighbor disk intersection"),
 }
+#: What a category is called in tables and reports.
+TITLES = {
+    "proximity": "Proximity", "triangulation": "Triangulation", "spanning": "Spanning structures", "random_models": "Random models", "spanners": "Geometric spanners",
+    "ann": "Approximate nearest neighbours", "kernel": "Kernels and similarity", "visibility": "Visibility", "data_driven": "Data-driven", "misc": "Spatial indexes and overlap",
+}
 DIRECTED = {"price"}
 SAMPLED = {"random_spanning", "k_mst_overlay", "intersection", *MODULES["random_models"][1].split(), *MODULES["ann"][1].split()} - {"random_geometric"}
 
@@ -36,6 +41,11 @@ class Operator:
     is_directed: bool
     is_deterministic: bool
 
+    @property
+    def is_spatial(self) -> bool:
+        """Whether edges depend on where the points are."""
+        return self.takes == "points" and (self.category != "random_models" or self.slug == "random_geometric")
+
     @property
     def takes(self) -> str:
         """What the first argument is: points, series, observations or degrees."""

@@ -25,6 +25,18 @@ class Points:
             raise ValueError(f"each layout needs {least} points at least, without nulls")
         return self
 
+    def counts(self) -> DataFrame:
+        """For each layout the number of points and of clusters (distinct labels)."""
+        return self.frame.groupBy(*self.keys).agg(F.count("*").alias("n_points"), F.count_distinct("label").alias("n_clusters"))
+
+    def plane(self) -> DataFrame:
+        """The points with x and y as columns."""
+        return self.frame.select(*self.keys, "id", F.get("features", F.lit(0)).alias("x"), F.get("features", F.lit(1)).alias("y"), "label")
+
+    def cluster(self, label: int) -> Points:
+        """The points of one label."""
+        return Points(self.frame.filter(F.col("label") == label), self.dims, self.keys)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -50,8 +62,22 @@ def event_series(spark: SparkSession, folder: str) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy("layout").orderBy("t", "id")) - 1)
 
 
-def order_degrees(spark: SparkSession, folder: str, segment: bool = True) -> DataFrame:
-    """id and degree: each customer's number of orders, 1 at least for all customers."""
+def zipf_degrees(spark: SparkSession, n: int, exponent: float = 2.5, seed: int = 148) -> DataFrame:
+    """id and degree: n drawn degrees with a power-law tail, n - 1 at most, with an even sum."""
+    drawn = np.minimum(np.random.default_rng(seed).zipf(exponent, n), max(1, n - 1))
+    if n and drawn.sum() % 2:
+        drawn[0] += 1 if drawn[0] < n - 1 else -1
+    return spark.createDataFrame([(i, int(d)) for i, d in enumerate(drawn)], "id long, degree long")
+
+
+def lognormal_weights(spark: SparkSession, n: int, mean: float = 1.0, deviation: float = 0.5, seed: int = 149) -> DataFrame:
+    """id and degree: n drawn expected degrees, for chung_lu."""
+    drawn = np.random.default_rng(seed).lognormal(mean, deviation, n)
+    return spark.createDataFrame([(i, float(d)) for i, d in enumerate(drawn)], "id long, degree double")
+
+
+def order_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    """id and degree: each customer's number of orders, 0 for those without any."""
     n = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
     return table(spark, folder, "customer").select(F.col("c_custkey").alias("id")).join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("degree"))
 
