@@ -254,9 +254,69 @@ def test_kernels(points):
     assert row["nnz"] == 435 and row["sparsity"] == 0
 
 
-def test_constraints(points):
-    both = triangulation.constrained_delaunay(points[1], triangulation.default_constraints(points[1]))
-    assert both.filter("constrained").count() == 2 and edges(triangulation.delaunay(points[0])) <= edges(both)
+def test_constraints(points, xy):
+    for p in points:
+        both = triangulation.constrained_delaunay(p)
+        asked = edges(both.filter("constrained"))
+        across, within = {e for e in asked if (e[0] < 10) != (e[1] < 10)}, {e for e in asked if (e[0] < 10) == (e[1] < 10)}
+        assert len(across) == 2 and edges(triangulation.delaunay(points[0])) <= edges(both)
+        # a side of a hull: all other points of the label lie on one hand of it
+        wanted = set()
+        for ids in (range(10), range(10, 30)):
+            for a in ids:
+                for b in ids:
+                    (dx, dy), rest = xy[b] - xy[a], xy[[i for i in ids if i not in (a, b)]] - xy[a]
+                    if a < b and abs(np.sign(dx * rest[:, 1] - dy * rest[:, 0]).sum()) == len(rest):
+                        wanted.add((a, b))
+        assert within == wanted
+
+
+def test_constraints_of_few_points(spark):
+    frame = spark.createDataFrame([(0, 5, [0.0, 0.0], 0), (0, 6, [1.0, 0.0], 0), (1, 7, [0.0, 0.0], 0), (1, 8, [2.0, 2.0], 0), (1, 9, [1.0, 1.0], 0)], "layout int, id long, features array<double>, label int")
+    found = triangulation.default_constraints(tables.Points(frame, 2, ("layout",)))
+    assert {tuple(r) for r in found.collect()} == {(0, 5, 6), (1, 7, 9)}
+    assert edges(triangulation.default_constraints(tables.Points(frame.filter("layout = 1"), 2))) == {(7, 9)}
+    assert triangulation.default_constraints(tables.Points(frame.limit(0), 2)).count() == 0
+
+
+def test_drawn_obstacles(points, xy):
+    sides = tables.drawn_obstacles(points[0]).collect()
+    assert len(sides) == 16 and len({r["obstacle"] for r in sides}) == 4
+    assert all(0.3 - 1e-9 <= np.hypot(r["x1"] - r["x2"], r["y1"] - r["y2"]) <= 0.6 + 1e-9 for r in sides)
+    assert min(r["x1"] for r in sides) >= xy[:, 0].min() - 0.4 and len(tables.drawn_obstacles(points[0], 2, n_vertices=5).collect()) == 10
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    cross = lambda a, b, c, d: side(c, d, a) * side(c, d, b) < 0 and side(a, b, c) * side(a, b, d) < 0
+    wanted = {(a, b) for a in range(30) for b in range(a + 1, 30) if not any(cross(xy[a], xy[b], (r["x1"], r["y1"]), (r["x2"], r["y2"])) for r in sides)}
+    assert edges(visibility.geometric_visibility(points[0])) == wanted
+
+
+def test_drawn_observations(points, xy):
+    drawn = tables.spatial_observations(points[0], 4000)
+    x = np.array([r["values"] for r in drawn.orderBy("id").collect()])
+    wanted = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(-1) / 2) + 0.01 * np.eye(30)
+    assert x.shape == (4000, 30) and np.abs(np.cov(x.T) - wanted).max() < 0.12
+    again = np.array([r["values"] for r in tables.spatial_observations(points[0], 4000).repartition(3).orderBy("id").collect()])
+    assert (x == again).all()
+    for kind, bent in {"square": {0: np.square, 2: np.square}, "abs": {0: np.abs, 3: np.abs}, "sin": {0: lambda v: np.sin(np.pi * v)}, "mixed": {0: np.square, 1: np.abs, 2: lambda v: np.sin(np.pi * v), 4: np.square}}.items():
+        y = np.array([r["values"] for r in tables.nonlinear_observations(drawn, kind).orderBy("id").collect()])
+        for k in range(6):
+            every = {"square": 2, "abs": 3, "sin": 2, "mixed": 4}[kind]
+            f = bent.get(k % every)
+            assert np.allclose(y[:, k], f(x[:, k]) if f else x[:, k])
+    with pytest.raises(ValueError):
+        tables.spatial_observations(points[0], most_points=29)
+
+
+def test_overlay_noise(points):
+    plain, noisy = (edges(spanning.k_mst_overlay(points[1], 3, noise_scale=s)) for s in (0.0, 0.1))
+    assert len(plain) > 29 and len(noisy) > 29 and edges(spanning.emst(points[0])) <= plain & noisy
+    assert noisy == edges(spanning.k_mst_overlay(points[0], 3))  # one layout, with or without a key
+
+
+def test_sampled_descent(points):
+    whole, part = ann.nn_descent(points[0], 4), ann.nn_descent(points[0], 4, rho=0.5)
+    assert edges(whole) == edges(ann.nn_descent(points[0], 4, rho=1.0))
+    assert part.count() >= 30 and part.agg(F.sum("weight")).first()[0] >= whole.agg(F.min("weight")).first()[0]
 
 
 def test_overlaps(points, xy):

@@ -223,7 +223,7 @@ query("correlation", lambda s, d: data_driven.correlation(observations(s, d), 64
 query("partial_correlation", lambda s, d: data_driven.partial_correlation(observations(s, d), 64, 0.1))
 query("glasso", lambda s, d: data_driven.glasso(observations(s, d), 64, alpha=0.002, max_iter=20))
 _LIM = "lim AS (SELECT v, min(x) AS lo, max(x) AS hi, count(*) AS n FROM o GROUP BY 1), b AS (SELECT id, v, CAST(least(19, floor((x-lo)/(hi-lo)*20)) AS BIGINT) AS b, n FROM o JOIN lim USING (v)), one AS (SELECT v, b, count(*) AS n FROM b GROUP BY 1, 2), joint AS (SELECT p.v AS src, q.v AS dst, p.b AS x, q.b AS y, count(*) AS c, min(p.n) AS n FROM b p JOIN b q ON p.id = q.id AND p.v < q.v GROUP BY 1, 2, 3, 4), mi AS (SELECT src, dst, greatest(0.0e0, sum(c/CAST(joint.n AS DOUBLE)*ln(c*CAST(joint.n AS DOUBLE)/(a.n*e.n)))) AS w FROM joint JOIN one a ON a.v = src AND a.b = x JOIN one e ON e.v = dst AND e.b = y GROUP BY 1, 2)"
-query("mutual_information", lambda s, d: data_driven.mutual_information(observations(s, d), 64, 0.1), f"WITH {_OBS}, {_LIM} SELECT src, dst, round(w, 6) AS weight, round(w, 6) AS mutual_information FROM mi WHERE w >= 0.1e0")
+query("mutual_information", lambda s, d: data_driven.mutual_information(observations(s, d), 64, 0.1, estimator="histogram"), f"WITH {_OBS}, {_LIM} SELECT src, dst, round(w, 6) AS weight, round(w, 6) AS mutual_information FROM mi WHERE w >= 0.1e0")
 query("mutual_information_ksg", lambda s, d: data_driven.mutual_information(observations(s, d), 64, 0.0, estimator="ksg"))
 query("expansion_percentile", lambda s, d: data_driven.expansion(plane(s, d), "percentile"), f"WITH {PTS}, {PAIRS}, {DPAIRS}, a AS (SELECT src AS id, quantile_cont(dist, 0.2) AS q FROM dpairs GROUP BY 1), b AS (SELECT src AS id, quantile_cont(dist, 0.2) AS q FROM (SELECT src, dist FROM dpairs UNION ALL SELECT id, 0.0 FROM pts) GROUP BY 1) SELECT src, dst, {W} FROM pairs JOIN a ON a.id = src JOIN b ON b.id = dst WHERE dist <= a.q OR dist <= b.q")
 query("expansion_diffusion", lambda s, d: data_driven.expansion(plane(s, d), "diffusion", diffusion_threshold=0.0123), f"WITH {knn(5)}, {PAIRS}, g AS (SELECT quantile_cont(dist, 0.5) AS s FROM pairs WHERE dist > 0), e AS (SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j, dist FROM knn), w AS (SELECT i, j, exp(-(dist*dist)/(2*s*s)) AS w FROM e, g), s AS (SELECT i, j, w FROM w UNION ALL SELECT j, i, w FROM w), p AS MATERIALIZED (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS p FROM s), p2 AS (SELECT a.i, b.j, sum(a.p*b.p) AS p FROM p a JOIN p b ON a.j = b.i GROUP BY 1, 2), p3 AS (SELECT a.i, b.j, sum(a.p*b.p) AS p FROM p2 a JOIN p b ON a.j = b.i GROUP BY 1, 2), f AS (SELECT least(i, j) AS src, greatest(i, j) AS dst, sum(p)/2 AS w FROM p3 WHERE i <> j GROUP BY 1, 2) SELECT src, dst, round(w, 6) AS weight, round(w, 6) AS diffusion_affinity FROM f WHERE w >= 0.0123e0")

@@ -49,6 +49,11 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def normal(seed: int, a: Column, b: Column) -> Column:
+    """A standard normal number from two hashed draws for (a, b)."""
+    return F.sqrt(-2 * F.log(1 - uniform(seed, a, b))) * F.cos(2 * pi * uniform(seed, a, b, F.lit("turn")))
+
+
 def crossing(p1: tuple, p2: tuple, p3: tuple, p4: tuple, eps: float = 1e-10) -> Column:
     """Whether segments p1-p2 and p3-p4 cross properly; touching doesn't count."""
     def side(a, b, c):

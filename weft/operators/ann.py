@@ -93,8 +93,8 @@ def rp_forest(points: Points, k: int = 5, n_trees: int = 10, leaf_size: int = 5,
     return closest_candidates(points, met, k)
 
 
-def nn_descent(points: Points, k: int = 5, max_iterations: int = 20, delta: float = 0.001, seed: int = 245) -> DataFrame:
-    """Each round, a point's neighbours' neighbours (either way) become candidates, and the k closest stay."""
+def nn_descent(points: Points, k: int = 5, max_iterations: int = 20, delta: float = 0.001, rho: float = 1.0, seed: int = 245) -> DataFrame:
+    """Each round, a point's neighbours' neighbours (either way) become candidates, of which a drawn part `rho` is tried, and the k closest stay."""
     check_k(points, k)
     keys = points.keys
     place = lambda end, name: points.frame.select(*keys, F.col("id").alias(end), F.col("features").alias(name))
@@ -107,9 +107,11 @@ def nn_descent(points: Points, k: int = 5, max_iterations: int = 20, delta: floa
     near = cut(near)
     total = near.count()
     best = Window.partitionBy(*keys, "src").orderBy("weight", "dst")
-    for _ in range(max_iterations):
+    for turn in range(max_iterations):
         both = near.select(*keys, "src", "dst").unionByName(near.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
         met = both.withColumnRenamed("dst", "mid").join(both.select(*keys, F.col("src").alias("mid"), "dst"), [*keys, "mid"]).filter("src <> dst").select(*keys, "src", "dst").distinct()
+        if rho < 1:
+            met = met.filter(uniform(seed + 1 + turn, F.col("src"), F.col("dst")) < rho)
         fresh = met.join(near.select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti")
         fresh = fresh.join(place("src", "fa"), [*keys, "src"]).join(place("dst", "fb"), [*keys, "dst"]).select(*keys, "src", "dst", distance("fa", "fb", points.dims).alias("weight"), F.lit(1).alias("new"))
         after = near.withColumn("new", F.lit(0)).unionByName(fresh).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
@@ -181,9 +183,9 @@ def hnsw(points: Points, M: int = 5, M0: int | None = None, ef_construction: int
             for layer in range(int(levels[entry]), int(levels[v]), -1):
                 at = [beam(at, layers[layer], x, x[v], 1)[0][1]]
             for layer in range(min(int(levels[v]), int(levels[entry])), -1, -1):
-                found = beam(at, layers[layer], x, x[v], ef_construction)
                 most = M if layer else top_degree
-                for _, w in found[:M]:
+                found = beam(at, layers[layer], x, x[v], max(ef_construction, most))
+                for _, w in found[:most]:
                     layers[layer][v].add(w)
                     layers[layer][w].add(v)
                     if len(layers[layer][w]) > most:
@@ -216,11 +218,13 @@ def robust_prune(v: int, candidates, x: np.ndarray, alpha: float, degree: int) -
 
 
 def vamana(points: Points, R: int = 5, alpha: float = 1.2, L: int = 20, n_passes: int = 2, seed: int = 244) -> DataFrame:  # noqa: N803
-    """A random graph refined by searches from the middle point and robust pruning. All links of either end are edges."""
+    """A random graph, linked both ways, refined by searches from the middle point and robust pruning. All links of either end are edges."""
     def build(x, ids):
         n, rng = len(ids), np.random.default_rng(seed)
         links = [set(rng.choice(n - 1, min(R, n - 1), replace=False).tolist()) for _ in range(n)]
         links = [{w + (w >= v) for w in own} for v, own in enumerate(links)]
+        for v, w in [(v, w) for v, own in enumerate(links) for w in own]:
+            links[w].add(v)
         start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
         for turn in range(n_passes):
             a = alpha if turn == 0 else 1.2 * alpha

@@ -106,7 +106,7 @@ def glasso(observations: DataFrame, width: int, alpha: float = 0.1, max_iter: in
     return _edges(observations.sparkSession, rows, "weight double, precision_value double, partial_correlation double")
 
 
-def mutual_information(observations: DataFrame, width: int, threshold: float = 0.1, n_bins: int = 20, estimator: str = "histogram", ksg_k: int = 5) -> DataFrame:
+def mutual_information(observations: DataFrame, width: int, threshold: float = 0.1, n_bins: int = 20, estimator: str = "ksg", ksg_k: int = 5) -> DataFrame:
     """Pairs of variables whose mutual information (nats) reaches the threshold. observations: id, values."""
     if estimator == "ksg":
         return _ksg(observations, width, threshold, ksg_k)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import uniform
+from ..functions.vectors import normal
 from ..plans.layouts import each_layout
 from ..plans.pairs import pairs
 from ..plans.scratch import components, cut
@@ -76,21 +76,29 @@ def mst_prim(points: Points, start_vertex: int = 0) -> DataFrame:
     return emst(points)
 
 
-def k_mst_overlay(points: Points, k: int = 3, penalty: float = 2.0, noise_scale: float = 0.0, seed: int = 55) -> DataFrame:
-    """The union of k trees: an edge costs more, by `penalty` for each tree that has it, and by hashed noise."""
-    base = cut(pairs(points).select(*points.keys, "src", "dst", F.col("dist").alias("base")))
+def k_mst_overlay(points: Points, k: int = 3, penalty: float = 2.0, noise_scale: float = 0.1, seed: int = 55) -> DataFrame:
+    """The union of k trees. From the second on, an edge costs more by `penalty` for each tree that has it, and by normal
+    noise of hashed draws: `noise_scale` of the layout's mean distance (of ordered pairs, a point with itself included),
+    halved in variance, as that of both directions is averaged."""
+    keys = [*points.keys]
+    base = cut(pairs(points).select(*keys, "src", "dst", F.col("dist").alias("base")))
+    if noise_scale and k > 1:
+        n = (1 + F.sqrt(1 + 8 * F.count("*"))) / 2
+        means = base.groupBy(*keys).agg((2 * F.sum("base") / (n * n)).alias("mean"))
+        base = cut(base.join(means, keys) if keys else base.crossJoin(F.broadcast(means)))  # a row, where there is one layout
     used = None
-    mean = base.agg(F.avg("base")).first()[0] or 0.0
     for turn in range(k):
-        cost = F.col("base")
-        if noise_scale and turn:
-            cost = cost + noise_scale * mean * (uniform(seed + turn, F.col("src"), F.col("dst")) * 2 - 1) * 1.7320508075688772
-        edges = base.withColumn("n", F.lit(0)) if used is None else base.join(used, [*points.keys, "src", "dst"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        edges = edges.withColumn("weight", F.greatest(cost * (1 + penalty * F.col("n")), F.lit(1e-12)))
-        fresh = minimum_forest(edges.select(*points.keys, "src", "dst", "weight"), points.keys).select(*points.keys, "src", "dst", F.lit(1).alias("n"))
-        used = fresh if used is None else used.unionByName(fresh).groupBy(*points.keys, "src", "dst").agg(F.sum("n").alias("n"))
+        if used is None:
+            edges = base.withColumn("weight", F.col("base"))
+        else:
+            edges = base.join(used, [*keys, "src", "dst"], "left").withColumn("weight", F.col("base") * (1 + penalty * F.coalesce("n", F.lit(0))))
+            if noise_scale:
+                drawn = normal(seed + turn, F.col("src"), F.col("dst"))
+                edges = edges.withColumn("weight", F.greatest(F.col("weight") + noise_scale * F.col("mean") * drawn / 2**0.5, F.lit(1e-12)))
+        fresh = minimum_forest(edges.select(*keys, "src", "dst", "weight"), points.keys).select(*keys, "src", "dst", F.lit(1).alias("n"))
+        used = fresh if used is None else used.unionByName(fresh).groupBy(*keys, "src", "dst").agg(F.sum("n").alias("n"))
         used = cut(used)
-    return used.join(base, [*points.keys, "src", "dst"]).select(*points.keys, "src", "dst", F.col("base").alias("weight"))
+    return used.join(base, [*keys, "src", "dst"]).select(*keys, "src", "dst", F.col("base").alias("weight"))
 
 
 def random_spanning(points: Points, seed: int = 49, use_weights: bool = False) -> DataFrame:

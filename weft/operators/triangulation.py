@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,19 +66,57 @@ def urquhart(points: Points) -> DataFrame:
     return each_layout(points.checked(3), build)
 
 
+def hull(x: np.ndarray) -> list[int]:
+    """The corners of a convex hull in the plane, one after the other; points along a side are none."""
+    def half(row: list[int]) -> list[int]:
+        out: list[int] = []
+        for i in row:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = x[out[-1]] - x[out[-2]], x[i] - x[out[-2]]
+                if ax * by - ay * bx > 0:
+                    break
+                out.pop()
+            out.append(i)
+        return out[:-1]
+
+    order = np.lexsort((x[:, 1], x[:, 0])).tolist()
+    return half(order) + half(order[::-1])
+
+
 def default_constraints(points: Points) -> DataFrame:
-    """The two shortest pairs between each two labels of a layout, as (keys, src, dst)."""
+    """(keys, src, dst): the two shortest pairs between each two labels of a layout, and the sides of each label's convex
+    hull; the closest pair in layouts that have neither."""
     from pyspark.sql import Window
 
     from ..plans.pairs import pairs
 
-    across = pairs(points, extra=("label",)).filter("label_a <> label_b")
-    w = Window.partitionBy(*points.keys, F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("dist", "src", "dst")
-    return across.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select(*points.keys, "src", "dst")
+    keys = [*points.keys]
 
+    def sides(pdf):
+        pdf = pdf.sort_values("id", kind="stable")
+        ids, corners = pdf["id"].to_numpy(), hull(np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1)[:, :2])
+        ends = [sorted((ids[a], ids[b])) for a, b in zip(corners, [*corners[1:], *corners[:1]])] if len(corners) > 2 else []
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(ends) for c in keys} | {"src": [a for a, _ in ends], "dst": [b for _, b in ends]})
 
-def constrained_delaunay(points: Points, constraints: DataFrame) -> DataFrame:
-    """Delaunay edges and the constraints' (keys, src, dst), flagged."""
+    across = pairs(points, extra=("label",)).filter("label_a <> label_b")
+    w = Window.partitionBy(*keys, F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("dist", "src", "dst")
+    bridges = across.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select(*keys, "src", "dst")
+    kinds = [f"{c} {points.frame.schema[c].dataType.simpleString()}" for c in keys]
+    hulls = points.frame.select(*keys, "label", F.col("id").cast("long").alias("id"), "features").groupBy(*keys, "label").applyInPandas(sides, ", ".join([*kinds, "src long, dst long"]))
+    found = bridges.unionByName(hulls).distinct()
+    if keys:
+        bare = points.frame.join(found.select(*keys).distinct(), keys, "left_anti")
+    elif found.limit(1).count():
+        return found
+    else:
+        bare = points.frame
+    closest = pairs(Points(bare, points.dims, points.keys)).groupBy(*keys).agg(F.min(F.struct("dist", "src", "dst")).alias("x"))
+    return found.unionByName(closest.filter("x is not null").select(*keys, "x.src", "x.dst"))
+
+
+def constrained_delaunay(points: Points, constraints: DataFrame | None = None) -> DataFrame:
+    """Delaunay edges and the constraints' (keys, src, dst; default_constraints(), if none are given), flagged."""
+    constraints = default_constraints(points) if constraints is None else constraints
     ends = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     asked = constraints.select(*points.keys, *ends).distinct().withColumn("constrained", F.lit(True))
     place = lambda end, name: points.frame.select(*points.keys, F.col("id").alias(end), F.col("features").alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import crossing
 from ..plans.pairs import pairs
-from ..sources.tables import Points
+from ..sources.tables import Points, drawn_obstacles
 
 
 def _ahead(series: DataFrame) -> DataFrame:
@@ -37,8 +37,9 @@ def horizontal_visibility(series: DataFrame, directed: bool = False, use_origina
     return _edges(seen, directed, use_original_indices)
 
 
-def geometric_visibility(points: Points, segments: DataFrame) -> DataFrame:
-    """Pairs whose line crosses none of the obstacles' edges (x1, y1, x2, y2)."""
+def geometric_visibility(points: Points, segments: DataFrame | None = None) -> DataFrame:
+    """Pairs whose line crosses none of the obstacles' edges (x1, y1, x2, y2); drawn_obstacles(), if none are given."""
+    segments = drawn_obstacles(points) if segments is None else segments
     at = lambda f: (F.get(f, F.lit(0)), F.get(f, F.lit(1)))
     blocked = crossing(at("fa"), at("fb"), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
     return pairs(points).join(F.broadcast(segments) if _few(segments) else segments, blocked, "left_anti").select(*points.keys, "src", "dst", F.col("dist").alias("weight"))

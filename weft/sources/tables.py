@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.matrices import nearest_positive_definite
+
 
 @dataclass(frozen=True)
 class Points:
@@ -109,3 +112,58 @@ def uniform_layout(spark: SparkSession, n: int = 30, xlim=(-4.0, 4.0), ylim=(-3.
 def bounding_box(points: Points, padding: float = 0.5) -> DataFrame:
     x, y = F.get("features", F.lit(0)), F.get("features", F.lit(1))
     return points.frame.groupBy(*points.keys).agg((F.min(x) - padding).alias("x_min"), (F.max(x) + padding).alias("x_max"), (F.min(y) - padding).alias("y_min"), (F.max(y) + padding).alias("y_max"))
+
+
+def drawn_obstacles(points: Points, n_obstacles: int = 4, radius: float = 0.3, n_vertices: int = 4, seed: int = 42) -> DataFrame:
+    """Sides (obstacle, x1, y1, x2, y2) of regular polygons, drawn inside the box of all points. Their size is drawn between
+    half of `radius` and `radius`: for four corners half a side, else from the middle to a corner."""
+    box = bounding_box(Points(points.frame, points.dims), 0.2).first()
+    rng, sides = np.random.default_rng(seed), []
+    for number in range(n_obstacles if box["x_min"] is not None else 0):
+        middle = [rng.uniform(box[f"{c}_min"] + radius, max(box[f"{c}_min"] + radius, box[f"{c}_max"] - radius)) for c in "xy"]
+        turn, size = rng.uniform(0, np.pi / 4), radius * rng.uniform(0.5, 1)
+        if n_vertices == 4:
+            turn, size = turn + np.pi / 4, size * np.sqrt(2)
+        at = turn + 2 * np.pi * np.arange(n_vertices) / n_vertices
+        corners = [(float(middle[0] + size * np.cos(a)), float(middle[1] + size * np.sin(a))) for a in at]
+        sides += [(number, *a, *b) for a, b in zip(corners, [*corners[1:], corners[0]])]
+    return points.frame.sparkSession.createDataFrame(sides, "obstacle int, x1 double, y1 double, x2 double, y2 double")
+
+
+def spatial_observations(points: Points, n_samples: int = 500, length_scale: float = 1.0, noise_std: float = 0.1, seed: int = 342, most_points: int = 2000) -> DataFrame:
+    """id and values: drawn observations of one normal variable for each point (by id), whose covariance falls with the
+    squared distance, and noise on top. The covariance is factored on the driver, so more than `most_points` raise; a sample
+    is drawn from (seed, id), alike in any partitioning."""
+    rows = points.frame.select("id", "features").orderBy("id").limit(most_points + 1).collect()
+    if len(rows) > most_points:
+        raise ValueError(f"a covariance of at most {most_points} points")
+    x, spark = np.array([r["features"] for r in rows], float).reshape(len(rows), -1), points.frame.sparkSession
+    squares = ((x[:, None] - x[None]) ** 2).sum(-1)
+    covariance = nearest_positive_definite(np.exp(-squares / (2 * length_scale**2)) + noise_std**2 * np.eye(len(x)))
+    factor = np.linalg.cholesky(covariance)
+
+    def draw(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"id": pdf["id"], "values": [factor @ np.random.default_rng([seed, i]).standard_normal(len(factor)) for i in pdf["id"]]})
+
+    return spark.range(n_samples).mapInPandas(draw, "id long, values array<double>")
+
+
+def nonlinear_observations(observations: DataFrame, nonlinearity: str = "square") -> DataFrame:
+    """Observations with some variables bent, so that they depend on others without being correlated: every second one
+    squared (`square`) or put through sin(pi x) (`sin`), every third without its sign (`abs`), or in turn
+    squared, without sign, through the sine, and as it is (`mixed`)."""
+    bent = {"square": lambda x: x * x, "abs": F.abs, "sin": lambda x: F.sin(np.pi * x)}
+    turns = {"square": ["square", None], "abs": ["abs", None, None], "sin": ["sin", None], "mixed": ["square", "abs", "sin", None]}
+    if nonlinearity not in turns:
+        raise ValueError(f"unknown nonlinearity {nonlinearity}")
+    row = turns[nonlinearity]
+
+    def each(x, k):
+        out = x
+        for place, name in enumerate(row):
+            if name:
+                out = F.when(k % len(row) == place, bent[name](x)).otherwise(out)
+        return out
+
+    return observations.withColumn("values", F.transform("values", each))
