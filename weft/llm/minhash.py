@@ -246,8 +246,9 @@ def clustered(documents: DataFrame, scratch: Scratch, words: int, percent: int,
     `first`, a struct of its doc_id and text_key, the smallest id before null ones."""
     signed = scratch.cut(signatures(documents, words, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    classes = scratch.cut(signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), first))
-    reps = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "text_key", "keys")
+    rep = F.min(F.struct(F.col("row").alias("node"), "text_key", "keys")).alias("rep")  # rows differ in `row`, so no keys are compared
+    classes = scratch.cut(signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(rep, F.count("*").alias("n"), first).select("h1", "h2", "n", "first", "rep.*"))
+    reps = classes.select("node", "text_key", "keys")
     entries = reps.select("node", F.explode("keys").alias("key"))
     buckets = scratch.cut(entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     members = scratch.cut(salted_join(entries, buckets.select("key", "hub"), "key", "node", hot_keys(buckets, "key", "n")))  # of buckets with several classes, the hub itself included
@@ -284,7 +285,7 @@ def clustered(documents: DataFrame, scratch: Scratch, words: int, percent: int,
             break
         tested = tested.unionByName(fresh)
     # what stands for each component, brought to its classes and then to their rows
-    placed = scratch.cut(classes.join(labels, "node", "left").select("h1", "h2", "n", "first", F.coalesce("label", "node").alias("label")))
+    placed = scratch.cut(classes.drop("text_key", "keys").join(labels, "node", "left").select("h1", "h2", "n", "first", F.coalesce("label", "node").alias("label")))
     best = placed.groupBy("label").agg(F.min("first").alias("best"))
     known = scratch.cut(salted_join(placed, best, "label", "h1", hot_keys(placed, "label")).select("h1", "h2", "n", "best"))
     with_set = signed.filter("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "h1", "h2")
