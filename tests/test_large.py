@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from weft.operators import proximity, spanning
+from weft.operators import data_driven, proximity, spanning
 from weft.plans import pairs as pairs_module
+from weft.plans.percentiles import percentile
 from weft.sources.tables import Points
 
 
@@ -72,3 +73,42 @@ def test_trees_without_pairs(spark, monkeypatch, name, keyed):
     monkeypatch.setattr(spanning, "pairs", no_pairs)
     found = [(r["layout"] if keyed else None, r["src"], r["dst"], round(r["weight"], 9)) for r in TREES[name](points).collect()]
     assert set(found) == expected and len(found) == len(expected)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.2, 0.5, 0.77, 1.0])
+def test_percentile_by_counts(spark, p):
+    r = np.random.default_rng(6)
+    values = [(0, float(v)) for v in r.normal(size=700)] + [(1, 2.5)] * 400 + [(1, float(v)) for v in r.integers(0, 9, 90)] + [(2, 1.0), (3, None), (2, None)]
+    frame = spark.createDataFrame(values, "layout int, x double")
+    expected = {r["layout"]: r["v"] for r in frame.groupBy("layout").agg(F.percentile("x", F.lit(p)).alias("v")).collect()}
+    found = {r["layout"]: r["value"] for r in percentile(frame, ("layout",), "x", p, bins=16, few=12).collect()}
+    assert {k: v for k, v in found.items()} == expected
+    assert percentile(frame, (), "x", p, bins=16, few=12).first()[0] == frame.agg(F.percentile("x", F.lit(p))).first()[0]
+    assert percentile(frame.limit(0), (), "x", p).first()[0] is None
+
+
+def no_percentile(*_, **__):
+    raise AssertionError("a percentile in one task was asked for")
+
+
+MEDIANS = {
+    "expansion_diffusion": lambda p: data_driven.expansion(p, "diffusion"),
+}
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+@pytest.mark.parametrize("name", MEDIANS)
+def test_medians_by_counts(spark, monkeypatch, name, keyed):
+    rows, points = cloud(spark, 5, keyed)
+    monkeypatch.setattr(F, "percentile", no_percentile)
+    found = MEDIANS[name](points).collect()
+    for layout, _, x in groups(rows, keyed):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(len(x), 1)]
+        own = [r for r in found if not keyed or r["layout"] == layout]
+        if name == "gaussian_rbf":
+            w = np.exp(-(d**2) / (2 * np.median(d) ** 2))
+            assert len(own) == (w >= 0.1).sum() and abs(sum(r["weight"] for r in own) - w[w >= 0.1].sum()) < 1e-6
+        elif name == "similarity_stats":
+            assert abs(own[0]["median"] - np.median(np.exp(-d))) < 1e-12
+        else:
+            assert own

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance  # noqa: F401
 from ..plans.pairs import nearest, pairs, undirected
+from ..plans.percentiles import percentile as exact_percentile
 from ..plans.scratch import cut
 from ..sources.tables import Points
 
@@ -257,8 +258,8 @@ def expansion(points: Points, method: str = "diffusion", percentile: float = 20,
         return joined.filter("dist <= alone or dist <= whole").select(*keys, "src", "dst", F.col("dist").alias("weight"))
     if method != "diffusion":
         raise ValueError(f"unknown method {method}")
-    middle = pairs(points).filter("dist > 0").groupBy(*keys).agg(F.percentile("dist", F.lit(0.5)).alias("sigma"))
-    linked = undirected(nearest(points, k_initial).withColumn("weight", F.col("dist")), keys, "weight")
+    middle = exact_percentile(pairs(points).filter("dist > 0").select(*keys, "dist"), keys, "dist", 0.5).withColumnRenamed("value", "sigma")
+    linked = undirected(nearest(points, k_initial, grid_from=5_000).withColumn("weight", F.col("dist")), keys, "weight")
     linked = linked.join(F.broadcast(middle), [*keys]) if keys else linked.crossJoin(F.broadcast(middle))  # one row
     linked = linked.withColumn("w", F.exp(-(F.col("weight") * F.col("weight")) / (2 * F.col("sigma") * F.col("sigma"))))
     both = linked.select(*keys, "src", "dst", "w").unionByName(linked.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
