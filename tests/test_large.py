@@ -147,6 +147,7 @@ def test_draws_over_arrays(spark, monkeypatch, name):
 
 
 JACCARD = {
+    "spatial_bin": lambda rows, points: kernel.jaccard(points, "spatial_bin", 0.3),
     "suppliers": lambda rows, points: kernel.jaccard_of_sets(points.frame.select("id", F.explode(F.array(*(F.when(F.col("id") % 7 != k, F.concat(F.lit("type "), F.lit(str(k)))) for k in range(7)))).alias("item")), (), 0.3, most=5),
 }
 
