@@ -167,3 +167,17 @@ def test_jaccard_by_classes(spark, name):
     found = [(r["src"], r["dst"], r["weight"]) for r in frame.collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert "explode(right" in frame._jdf.queryExecution().toString()  # pairs are listed, not counted item by item
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_percentiles_row_by_row(spark, monkeypatch, keyed):
+    rows, points = cloud(spark, 8, keyed)
+    expected = set()
+    for layout, ids, x in groups(rows, keyed):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        alone = [np.percentile(np.delete(row, i), 20) for i, row in enumerate(d)]
+        whole = np.percentile(d, 20, axis=1)
+        expected |= {(layout, ids[i], ids[j]) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= alone[i] + 1e-12 or d[i, j] <= whole[j] + 1e-12}
+    monkeypatch.setattr(data_driven, "pairs", no_pairs)
+    found = [(r["layout"] if keyed else None, r["src"], r["dst"]) for r in data_driven.expansion(points, "percentile").collect()]
+    assert set(found) == expected and len(found) == len(expected)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import distance  # noqa: F401
 from ..plans.pairs import nearest, pairs, undirected
 from ..plans.percentiles import percentile as exact_percentile
+from ..plans.regions import finite, on_slices
 from ..plans.scratch import cut
 from ..sources.tables import Points
 
@@ -244,12 +245,64 @@ def _ksg(observations: DataFrame, width: int, threshold: float, k: int, block: i
     return found.filter(F.col("weight") >= threshold).withColumn("mutual_information", F.col("weight"))
 
 
+def _within_percentile(points: Points, p: float) -> DataFrame:
+    """Pairs within either end's percentile of distances. A task has its part's distances to all points of the layout row by row
+    and keeps none: first for the percentiles of each point, then for the pairs."""
+
+    def distances(x, i, start=0):
+        total = 0.0
+        for d in range(x.shape[1]):
+            y = x[i, d] - x[start:, d]
+            total = total + y * y
+        return np.sqrt(total)
+
+    def at(row: np.ndarray) -> float:
+        place = p * (len(row) - 1)
+        lo, hi = int(np.floor(place)), int(np.ceil(place))
+        row = np.partition(row, (lo, hi))
+        return row[lo] if lo == hi or row[lo] == row[hi] else (hi - place) * row[lo] + (place - lo) * row[hi]
+
+    def limits(ids, x, part, parts):
+        rows = np.arange(part, len(ids), parts)
+        alone, whole = np.empty(len(rows)), np.empty(len(rows))
+        for k, i in enumerate(rows):
+            own = distances(x, i)
+            own = own[ids != ids[i]]
+            alone[k], whole[k] = at(own) if len(own) else -1.0, at(np.append(own, 0.0))
+        yield ids[rows], ids[rows], alone, whole
+
+    found = cut(on_slices(points, limits, "alone double, whole double", rows=512).withColumnRenamed("src", "id").drop("dst"))
+    features = F.concat("features", F.array("alone", "whole"))
+    known = Points(points.frame.join(found, [*points.keys, "id"]).withColumn("features", features), points.dims + 2, points.keys)
+
+    def near(ids, x, part, parts):
+        x, alone, whole = x[:, :-2], x[:, -2], x[:, -1]
+        a, b, w, n = [], [], [], 0
+        for i in range(part, len(ids), parts):
+            start = int(np.searchsorted(ids, ids[i], side="right"))
+            d = distances(x, i, start)
+            hit = np.nonzero((d <= alone[i]) | (d <= whole[start:]))[0]
+            a.append(np.full(len(hit), ids[i]))
+            b.append(ids[start + hit])
+            w.append(d[hit])
+            n += len(hit)
+            if n >= 1 << 19:
+                yield np.concatenate(a), np.concatenate(b), np.concatenate(w)
+                a, b, w, n = [], [], [], 0
+        if n:
+            yield np.concatenate(a), np.concatenate(b), np.concatenate(w)
+
+    return on_slices(known, near, "weight double", rows=512)
+
+
 def expansion(points: Points, method: str = "diffusion", percentile: float = 20, k_initial: int = 5, diffusion_steps: int = 3, diffusion_threshold: float = 0.01) -> DataFrame:
     """percentile: pairs within either end's percentile of distances (the later end counts its own 0).
     diffusion: affinity of random walks on the symmetric nearest-neighbour graph with Gaussian weights."""
     keys = points.keys
     if method == "percentile":
         p = percentile / 100
+        if points.dims and finite(points):
+            return _within_percentile(points, p)
         out = cut(pairs(points, ordered=True).select(*keys, "src", "dst", "dist"))
         own = out.groupBy(*keys, F.col("src").alias("id")).agg(F.percentile("dist", F.lit(p)).alias("alone"))
         with_self = out.select(*keys, "src", "dist").unionByName(points.frame.select(*keys, F.col("id").alias("src"), F.lit(0.0).alias("dist")))
