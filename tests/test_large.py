@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from weft.operators import data_driven, kernel, proximity, random_models, spanning
+from weft.operators import data_driven, kernel, paths, proximity, random_models, spanners, spanning
 from weft.plans import pairs as pairs_module
 from weft.plans.percentiles import percentile
 from weft.sources.tables import Points
@@ -181,3 +181,16 @@ def test_percentiles_row_by_row(spark, monkeypatch, keyed):
     monkeypatch.setattr(data_driven, "pairs", no_pairs)
     found = [(r["layout"] if keyed else None, r["src"], r["dst"]) for r in data_driven.expansion(points, "percentile").collect()]
     assert set(found) == expected and len(found) == len(expected)
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_stretch_without_turns(spark, monkeypatch, k):
+    rows, points = cloud(spark, 9, True)
+    edges = proximity.symmetric_knn(points, k)
+    found, expected = edges.collect(), {}
+    for layout, ids, x in groups(rows, True):
+        at, d = {i: n for n, i in enumerate(ids)}, np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        expected[layout] = spanners.stretch(len(ids), [(at[r["src"]], at[r["dst"]], r["weight"]) for r in found if r["layout"] == layout], d)
+    monkeypatch.setattr(paths, "shortest_paths", no_pairs)
+    got = {r["layout"]: r["stretch"] for r in paths.stretch(points, edges).collect()}
+    assert got == pytest.approx(expected, rel=1e-12)
