@@ -194,3 +194,4 @@ def test_stretch_without_turns(spark, monkeypatch, k):
     monkeypatch.setattr(paths, "shortest_paths", no_pairs)
     got = {r["layout"]: r["stretch"] for r in paths.stretch(points, edges).collect()}
     assert got == pytest.approx(expected, rel=1e-12)
+    assert {r["layout"]: r["is_spanner"] for r in paths.is_spanner(points, edges, 2.0).collect()} == {i: v <= 2.0 + 1e-9 for i, v in expected.items()}
