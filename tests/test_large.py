@@ -198,7 +198,7 @@ def test_stretch_without_turns(spark, monkeypatch, k):
 
 
 @pytest.mark.parametrize("t", [1.2, 2.0])
-@pytest.mark.parametrize("name", ["greedy_spanner"])
+@pytest.mark.parametrize("name", ["greedy_spanner", "t_spanner"])
 def test_spanners_without_table_of_paths(spark, monkeypatch, name, t):
     rows, points = cloud(spark, 10, True)
     expected = set()
