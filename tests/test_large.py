@@ -279,3 +279,9 @@ def test_jaccard_rounds_classes(spark, small):
 
     plan = QUERIES["jaccard_spatial_bin"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" in plan and plan.index("Generate explode(right") < plan.index("round(")
+
+
+def test_stretch_deals_layouts(spark):
+    """Few rows, but long work: layouts aren't put into one task."""
+    rows, points = cloud(spark, 9, True)
+    assert paths.stretch(points, proximity.symmetric_knn(points, 5)).rdd.getNumPartitions() > 1

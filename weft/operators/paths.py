@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
+from ..plans.layouts import by_layout
 from ..plans.regions import finite
 from ..plans.scratch import cut
 from ..sources.tables import Points
@@ -92,8 +93,8 @@ def _stretch_by_layout(points: Points, edges: DataFrame, block: int = 512) -> Da
                 worst = max(worst or 1.0, float((d[far] / straight[far]).max()))
         return pd.DataFrame({"layout": [key[0]], "stretch": [worst]}) if worst is not None else pd.DataFrame({"layout": [], "stretch": []})
 
-    grouped = points.frame.select("layout", "id", "features").groupBy("layout")
-    return grouped.cogroup(edges.select("layout", "src", "dst", "weight").groupBy("layout")).applyInPandas(run, f"layout {kind}, stretch double")
+    grouped = by_layout(points.frame.select("layout", "id", "features")).groupBy("layout")
+    return grouped.cogroup(by_layout(edges.select("layout", "src", "dst", "weight")).groupBy("layout")).applyInPandas(run, f"layout {kind}, stretch double")
 
 
 def stretch(points: Points, edges: DataFrame) -> DataFrame:
