@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from weft.operators import data_driven, kernel, paths, proximity, random_models, spanners, spanning
+from weft.operators import data_driven, kernel, paths, proximity, random_models, spanners, spanning, visibility
 from weft.plans import blocks, noisy_trees
 from weft.plans import pairs as pairs_module
 from weft.plans.percentiles import percentile
@@ -326,3 +326,26 @@ def test_blocks_hold_each_pair_once(kind):
     assert max(map(len, lengths)) < 2 * 3000 * 2999 / 2 / 40  # no part has much more than its share
     if kind == "spread":  # lengths of a part are near each other
         assert np.median([np.ptp(d) for d in lengths]) < 0.3 * max(d.max() for d in lengths)
+
+
+@pytest.mark.parametrize("many", [False, True])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_visibility_by_cells(spark, monkeypatch, keyed, many):
+    rows, points = cloud(spark, 15, keyed)
+    walls = [(*a, *b) for a, b in np.random.default_rng(16).normal(size=(64 if many else 5, 2, 2)).tolist()]
+    walls[1:3] = [(0.5, 3.0, 2.5, 3.0), (3.0, 2.0, 3.0, 4.0)]  # along the row, and through one of its points
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    apart = lambda v, w: v > 1e-10 and w < -1e-10 or v < -1e-10 and w > 1e-10
+    expected = set()
+    for layout, ids, x in groups(rows, keyed):
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                a, b = x[i], x[j]
+                if not any(apart(side(w[:2], w[2:], a), side(w[:2], w[2:], b)) and apart(side(a, b, w[:2]), side(a, b, w[2:])) for w in walls):
+                    expected.add((layout, ids[i], ids[j], float(np.sqrt(((a - b) ** 2).sum()))))
+    segments = spark.createDataFrame(walls, "x1 double, y1 double, x2 double, y2 double")
+    more = spark.createDataFrame(walls * (65 // len(walls) + 1), segments.schema)  # too many edges for bits
+    slow = {(r["layout"] if keyed else None, r["src"], r["dst"], r["weight"]) for r in visibility.geometric_visibility(points, more).collect()}
+    monkeypatch.setattr(visibility, "pairs", no_pairs)
+    found = [(r["layout"] if keyed else None, r["src"], r["dst"], r["weight"]) for r in visibility.geometric_visibility(points, segments).collect()]
+    assert set(found) == expected == slow and len(found) == len(expected)
