@@ -349,3 +349,36 @@ def test_visibility_by_cells(spark, monkeypatch, keyed, many):
     monkeypatch.setattr(visibility, "pairs", no_pairs)
     found = [(r["layout"] if keyed else None, r["src"], r["dst"], r["weight"]) for r in visibility.geometric_visibility(points, segments).collect()]
     assert set(found) == expected == slow and len(found) == len(expected)
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_gaussian_by_cells(spark, monkeypatch, keyed):
+    """No join of all pairs, with a median that is narrowed down in few bins; ids twice are no pair."""
+    rows, _ = cloud(spark, 21)
+    rows += [(rows[0][0], rows[0][1], [9.0, 9.0], 0)]
+    frame = spark.createDataFrame(rows, "layout int, id long, features array<double>, label int")
+    points = Points(frame if keyed else frame.drop("layout"), 2, ("layout",) if keyed else ())
+    monkeypatch.setattr(kernel, "pairs", no_pairs)
+    monkeypatch.setattr(blocks, "BINS", 8)
+    monkeypatch.setattr(blocks, "FEW", 5)
+    found = sorted((r["layout"] if keyed else None, r["src"], r["dst"], round(r["weight"], 9)) for r in kernel.gaussian_rbf(points).collect())
+    expected = []
+    for layout, ids, x in groups(rows, keyed):
+        i, j = np.triu_indices(len(x), 1)
+        own = np.array(ids)[i] != np.array(ids)[j]
+        d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+        w = np.exp(-(d**2) / (2 * np.median(d[own]) ** 2))
+        expected += [(layout, ids[a], ids[b], round(float(v), 9)) for a, b, v, o in zip(i, j, w, own) if o and v >= 0.1]
+    assert found == sorted(expected, key=lambda r: (r[0] or 0, *r[1:]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50])
+def test_medians_of_lengths(spark, monkeypatch, n):
+    """Two lengths in the middle that lie far apart, many equal ones, and layouts without pairs."""
+    monkeypatch.setattr(blocks, "FEW", 2)
+    x = [[0.0, 0.0]] * (n // 2) + [[1e6 * (k % 2), 0.0] for k in range(n - n // 2)]
+    points = Points(spark.createDataFrame([(k, v) for k, v in enumerate(x)], "id long, features array<double>"), 2)
+    d = [abs(x[i][0] - x[j][0]) for i in range(n) for j in range(i)]
+    assert blocks.medians(points) == ({0: float(np.median(d))} if d else {})
+    if n == 3:  # a median of 0 leaves copies, whose weight is NaN, as in SQL
+        assert [(r["src"], r["dst"]) for r in kernel.gaussian_rbf(Points(points.frame.withColumn("features", F.array(F.lit(1.0), F.lit(1.0))), 2)).filter("isnan(weight)").orderBy("src", "dst").collect()] == [(0, 1), (0, 2), (1, 2)]
